@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -230,7 +231,7 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator
     for batch in batches:
         column = batch.column(text)
         size, start = 0, 0
-        lengths = [0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()]
+        lengths = pc.binary_length(column).to_pylist()
         for k, n in enumerate(lengths):
             size += n
             if size >= 6 * words or k == len(lengths) - 1:
