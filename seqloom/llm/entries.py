@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, sharding, simhash
+from . import chunk_dedup, decontamination, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_ring_sharding": sharding.op1,
+    "op3_toxicity": toxicity.op3,
+    "op4_chunk_dedup": chunk_dedup.op4,
+    "op5_secret_scan": secrets.op5,
     "op6_fm_decontamination": decontamination.op6,
+    "op7_token_counts": token_counts.op7,
+    "op8_quality_rules": quality.op8,
     "op9_source_mixing": mixing.op9,
     "op10_simhash_dedup": simhash.op10,
 }
