@@ -1,7 +1,8 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule looks at a document's statistics and votes good (1), bad (-1) or abstains
-(0). Nobody knows the rules' accuracies; expectation maximisation estimates them
+(0). Nobody knows the rules' accuracies: how often each says what of a good document,
+and what of a bad one. Expectation maximisation estimates them
 and the share of good documents from how the rules agree over all documents.
 It needs only how often each pattern of votes occurs, at most 3 ** 8 rows, so all
 its rounds are one expression over one row. A document is kept by its posterior
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, table
 
-ROUNDS, KEEP = 40, 0.5
-#: Where estimation starts, the weight of that start in documents, and its bounds.
-PRIOR, ACCURACY, WEIGHT, LOW, HIGH = 0.8, 0.8, 20.0, 0.55, 0.995
+ROUNDS, KEEP = 30, 0.5
+#: Where estimation starts, and its weight in documents: the share of good ones, and
+#: how a rule votes (bad, none, good) on a good and on a bad one.
+PRIOR, ON_GOOD, ON_BAD, WEIGHT = 0.85, (0.02, 0.18, 0.80), (0.45, 0.25, 0.30), 20.0
 # Frequent function words of the corpus' languages.
 FUNCTION_WORDS = ("the", "of", "and", "to", "in", "is", "that", "de", "la", "el", "que", "los", "en", "y", "le", "les", "des", "et", "un", "der", "die", "das", "und", "von", "zu", "den", "mit", "ist", "nicht")
 RULES = 8
@@ -72,41 +74,49 @@ def votes() -> list[Column]:
     ]
 
 
-def posterior(prior: Column, accuracy: Column, votes: Column) -> Column:
-    """Probability of good, given the votes and the rules' accuracies."""
-    odds = F.aggregate(F.zip_with(votes, accuracy, lambda v, a: v * F.ln(a / (1 - a))), F.ln(prior / (1 - prior)), lambda x, y: x + y)
+def posterior(state: Column, votes: Column) -> Column:
+    """Probability of good, given the votes and how the rules vote on good and bad."""
+
+    def ratio(j: Column) -> Column:
+        said = F.get(votes, j) + 1
+        return F.ln(F.get(F.get(state["good"], j), said) / F.get(F.get(state["bad"], j), said))
+
+    odds = F.aggregate(F.sequence(F.lit(0), F.lit(RULES - 1)), F.ln(state["prior"] / (1 - state["prior"])), lambda x, j: x + ratio(j))
     return 1 / (1 + F.exp(-odds))
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """From rows (votes, n) one row: prior, accuracy (an array) and patterns.
+    """From rows (votes, n) one row: state (prior, good, bad: a row of three shares for each rule) and patterns.
 
-    Each round gives every pattern its posterior, then each rule the posterior
-    share of right votes among those it cast; the start counts as ``WEIGHT`` votes.
+    Each round gives every pattern its posterior, then recounts the votes of each
+    rule by it; the start counts as ``WEIGHT`` documents of either kind.
     """
     one = patterns.groupBy().agg(F.collect_list(F.struct("votes", F.col("n").cast("double").alias("n"))).alias("patterns"))
 
-    def bounded(x: Column) -> Column:
-        return F.least(F.lit(HIGH), F.greatest(F.lit(LOW), x))
-
     def total(col: Column, f) -> Column:
         return F.aggregate(col, F.lit(0.0), lambda a, x: a + f(x))
 
-    def rule(scored: Column, j: Column) -> Column:
-        right = total(scored, lambda x: x["n"] * F.when(F.get(x["votes"], j) > 0, x["p"]).when(F.get(x["votes"], j) < 0, 1 - x["p"]).otherwise(F.lit(0.0)))
-        cast = total(scored, lambda x: x["n"] * F.abs(F.get(x["votes"], j)))
-        return bounded((right + WEIGHT * ACCURACY) / (cast + WEIGHT))
+    def table_of(scored: Column, mass, start: tuple) -> Column:
+        """For each rule the share of each vote among the documents of one kind."""
+        return F.transform(F.sequence(F.lit(0), F.lit(RULES - 1)), lambda j: F.array(*[
+            (total(scored, lambda x, v=v: F.when(F.get(x["votes"], j) == v, mass(x)).otherwise(F.lit(0.0))) + WEIGHT * share) / (total(scored, mass) + WEIGHT)
+            for v, share in zip((-1, 0, 1), start, strict=True)
+        ]))
 
     def step(state: Column, _: Column) -> Column:
-        scored = F.transform("patterns", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), posterior(state["prior"], state["accuracy"], x["votes"]).alias("p")))
+        scored = F.transform("patterns", lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), posterior(state, x["votes"]).alias("p")))
         # the one-element array holds the scores, so that they are computed once a round
         return F.get(F.transform(F.array(scored), lambda s: F.struct(
-            F.least(F.lit(0.99), F.greatest(F.lit(0.01), (total(s, lambda x: x["n"] * x["p"]) + WEIGHT * PRIOR) / (total(s, lambda x: x["n"]) + WEIGHT))).alias("prior"),
-            F.transform(F.sequence(F.lit(0), F.lit(RULES - 1)), lambda j: rule(s, j)).alias("accuracy"),
+            ((total(s, lambda x: x["n"] * x["p"]) + WEIGHT * PRIOR) / (total(s, lambda x: x["n"]) + WEIGHT)).alias("prior"),
+            table_of(s, lambda x: x["n"] * x["p"], ON_GOOD).alias("good"),
+            table_of(s, lambda x: x["n"] * (1 - x["p"]), ON_BAD).alias("bad"),
         )), F.lit(0))
 
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array_repeat(F.lit(ACCURACY), RULES).alias("accuracy"))
-    return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step).alias("state"), "patterns").select("state.prior", "state.accuracy", "patterns")
+    def start(shares: tuple) -> Column:
+        return F.array_repeat(F.array(*[F.lit(x) for x in shares]), RULES)
+
+    first = F.struct(F.lit(PRIOR).alias("prior"), start(ON_GOOD).alias("good"), start(ON_BAD).alias("bad"))
+    return one.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step).alias("state"), "patterns")
 
 
 def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -120,7 +130,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     patterns = rows.groupBy("votes").agg(F.count("*").alias("n"))
     model = estimate(patterns, rounds)
     # at most 3 ** RULES rows, whatever the number of documents
-    scores = model.select("prior", "accuracy", F.explode("patterns").alias("x")).select(F.col("x.votes").alias("votes"), posterior(F.col("prior"), F.col("accuracy"), F.col("x.votes")).alias("p_good"))
+    scores = model.select("state", F.explode("patterns").alias("x")).select(F.col("x.votes").alias("votes"), posterior(F.col("state"), F.col("x.votes")).alias("p_good"))
     return rows.join(F.broadcast(scores), "votes")
 
 
