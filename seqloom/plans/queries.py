@@ -369,9 +369,9 @@ def seqmatrix(s):
     return aggregates.seqmatrix(motifs(s), "x", "doc_id", "DNA2")
 
 
-@query(f"SELECT doc_id, list_transform(range(1, 13), lambda p: list_transform(range(0, 4), lambda k: x[p] = 'ACGT'[k + 1])) AS hot FROM ({MOTIF})")
+@query(f"SELECT doc_id, flatten(list_transform(range(1, 13), lambda p: list_transform(range(0, 4), lambda k: x[p] = 'ACGT'[k + 1]))) AS hot FROM ({MOTIF})")
 def one_hot(s):
-    return picked(motifs(s), hot=aggregates.one_hot(C("x")))
+    return picked(motifs(s), hot=F.flatten(aggregates.one_hot(C("x"))))
 
 
 @query_docs("SELECT lang, string_agg(left(dna2, 8), '' ORDER BY doc_id) AS joined FROM s GROUP BY lang")
