@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, decontamination, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
+from . import chunk_dedup, decontamination, licenses, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_ring_sharding": sharding.op1,
+    "op2_license_scan": licenses.op2,
     "op3_toxicity": toxicity.op3,
     "op4_chunk_dedup": chunk_dedup.op4,
     "op5_secret_scan": secrets.op5,

@@ -1,0 +1,529 @@
+"""The ten operators against brute force and on odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.llm import chunk_dedup, components, decontamination, licenses, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
+from seqloom.llm.entries import QUERIES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus():
+    """Nulls in all columns, empty and very long texts, ties, repeated rows, copies, a hot source."""
+    rng = random.Random(4)
+    base = [words(rng, rng.randrange(60, 200)) for _ in range(30)]
+    rows = [(k, t, "en", "hot" if k % 3 else f"s{k % 7}", len(t)) for k, t in enumerate(base)]
+    rows += [(100 + k, base[3], "en", "hot", 1) for k in range(6)]
+    rows += [(200 + k, base[5] + f" tail{k}", "fr", "hot", 1) for k in range(6)]
+    rows += [(300, None, None, None, None), (301, "", "en", "s1", 0), (302, " \n\t ", "en", None, 4), (303, "one two", "en", "", 7), (304, "é ß \U0001F600 ſ K", "de", "ſ", 9)]
+    rows += [(305, words(rng, 30_000, 5000), "en", "s2", 1), (None, "no id here at all", "en", "s2", 1), (None, base[7], "en", "s3", 1), (306, "a" * 50_000, "en", "s1", 1)]
+    rows += [rows[2], rows[2], (2, base[2], "xx", "other", 3)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def odd(docs):
+    """The same with further columns whose names the operators use themselves."""
+    return docs.select("*", *[F.lit(1).alias(c) for c in ("size", "shard", "slot", "fp", "row", "kept", "h", "w", "votes", "copies", "target", "spans", "items", "n", "text_crc32", "__slot", "__block", "y", "id", "met")])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def rows_of(df, *names):
+    return sorted(map(tuple, df.select(*names).collect()), key=repr)
+
+
+# 1 sharding
+
+def test_sharding_places_all_rows_evenly(docs, odd, none):
+    got = sharding.shard_documents(docs, 5).collect()
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in corpus())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    for s in range(5):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert sharding.shard_documents(none, 5).count() == 0
+    assert sorted(map(tuple, got), key=repr) == rows_of(sharding.shard_documents(odd, 5), "doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def test_ring_balances_and_moves_little():
+    rng, slots = random.Random(1), sharding.ring_slots(20)
+    cells = [(s, k, rng.randrange(1, 1000)) for s in range(slots) for k in range(4)]
+    before, after = (sharding.place_cells(cells, m, slots, epsilon=0.05) for m in (20, 21))
+    load = Counter()
+    for s, k, w in cells:
+        load[before[s, k]] += w
+    mean = sum(load.values()) / 20
+    assert max(load.values()) <= 1.05 * mean and min(load.values()) >= 0.8 * mean
+    assert sum(before[c] != after[c] for c in before) < 0.25 * len(before)
+    # the nodes of a smaller ring stay where they are
+    assert set(zip(*sharding.ring(4, 8, 1))) <= set(zip(*sharding.ring(5, 8, 1)))
+
+
+def test_sharding_of_one_huge_row(spark):
+    got = sharding.shard_documents(spark.createDataFrame([(1, "x" * 100_000), (2, "y")], "doc_id long, text string"), 3).collect()
+    assert {r["slot"] for r in got} == {0} and len({r["shard"] for r in got}) == 2
+
+
+# 9 mixing
+
+def test_targets_are_shares_with_limits():
+    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
+    assert mixing.targets([10, 500, 490, 0], [5, 2, 1, 5]) == pytest.approx([30, 970 * 2 / 3, 970 / 3, 0])
+    assert mixing.targets([], []) == [] and mixing.targets([0], [5]) == [0]
+
+
+def test_split_tree_is_exact():
+    quotas = np.array([1000, 3, 0, 57, 411])
+    out = mixing.split_tree(quotas, 7)
+    assert (out.sum(0) == quotas).all() and (out >= 0).all()
+    assert out.sum(1).max() - out.sum(1).min() <= 1
+    assert (out == mixing.split_tree(quotas, 7)).all()
+
+
+def test_mix_takes_what_it_targets(docs, odd, none):
+    kw = dict(id_col="doc_id", text_col="text", source_col="source", blocks=mixing.BLOCKS, out_shards=8, weights=(5, 2, 1), seed=1)
+    plan = mixing.mix_plan(docs, **kw)
+    got = [(r["doc_id"], r["__source"], r["size"], r["source_size"], r["target"], len(r["copies"])) for r in plan.collect()]
+    assert Counter((g[0], g[2]) for g in got) == Counter((d, len(WORD.findall(t or ""))) for d, t, *_ in corpus())
+    by: dict = {}
+    for _, s, size, total, target, n in got:
+        assert 0 <= n <= 3
+        by.setdefault(s, [0, 0, target, total])
+        by[s][0] += size * n
+        by[s][1] += size
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    assert [by[s][2] for s in names] == pytest.approx(mixing.targets([by[s][1] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]))
+    biggest = {s: max(g[2] for g in got if g[1] == s) for s in names}
+    assert all(abs(by[s][0] - by[s][2]) <= biggest[s] and by[s][3] == by[s][1] for s in names)
+    assert sorted(got, key=repr) == sorted(((r["doc_id"], r["__source"], r["size"], r["source_size"], r["target"], len(r["copies"])) for r in mixing.mix_plan(odd, **kw).collect()), key=repr)
+    mixed = mixing.mix_sources(docs, out_shards=8)
+    assert mixed.columns == [*docs.columns, "mix_shard", "mix_order"]
+    taken = mixing.mix_plan(docs, **kw | {"seed": mixing.SEED, "out_shards": 8}).select(F.sum(F.size("copies"))).first()[0]
+    assert mixed.count() == taken and mixing.mix_sources(none).count() == 0
+
+
+# 6 decontamination
+
+def brute_hits(texts, items, window=10):
+    windows: dict = {}
+    for i, t in items:
+        w = decontamination.words_of(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(i)
+    out = []
+    for t in texts:
+        w = decontamination.words_of(t)
+        hit, found = [False] * len(w), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if who := windows.get(tuple(w[k : k + size])):
+                    found |= who
+                    hit[k : k + size] = [True] * size
+        out.append((len(w), sum(hit), sorted(found)))
+    return out
+
+
+def scanned(texts, items, window=10):
+    phrases = decontamination.Phrases.of(items, window)
+    counts, hit, found = decontamination.scan(texts, phrases)
+    ends = np.cumsum(counts)
+    return [(n, int(hit[e - n : e].sum()), [phrases.items[i] for i in f]) for n, e, f in zip(counts, ends, found, strict=True)]
+
+
+def test_fm_index_equals_brute_force():
+    rng = random.Random(1)
+    for _ in range(150):
+        letters = [b"a", b"b", b"c", b"d", b"\xc3\xa9"][: rng.randint(1, 5)] + [b"x%d" % i for i in range(rng.randint(0, 4))]
+        texts = [b" ".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(rng.randint(0, 6))]
+        items = [(str(i), b" ".join(rng.choices([*letters[:5], b"q"], k=rng.choice([0, 1, 2, 3, 12, 15])))) for i in range(rng.randint(0, 5))]
+        window = rng.choice([2, 3, 10])
+        assert scanned(texts, items, window) == brute_hits(texts, items, window)
+
+
+def test_suffix_array():
+    rng = random.Random(2)
+    for _ in range(60):
+        s = np.array([rng.randint(1, 3) for _ in range(rng.randint(1, 80))] + [0])
+        assert decontamination.suffix_array(s, 3).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_decontaminate_odd_tables(spark, docs, odd, none):
+    passage = " ".join(corpus()[4][1].split()[10:25])
+    bench = spark.createDataFrame([(7, passage.upper()), (7, passage.upper()), (8, None), (9, "one TWO"), (None, "no id"), (10, ""), (11, "absent words only")], "item_id long, text string")
+    got = decontamination.decontaminate(docs, bench, carry_text=True).collect()
+    items = [(str(r["item_id"]) if r["item_id"] is not None else "", (r["text"] or "").encode()) for r in bench.distinct().collect()]
+    data = {(d, t): b for (d, t, *_), b in zip(corpus(), brute_hits([(t or "").encode() for _, t, *_ in corpus()], items), strict=True)}
+    assert Counter((r["doc_id"], r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), tuple(r["items"])) for r in got) == Counter((d, *data[d, t][:2], tuple(data[d, t][2])) for d, t, *_ in corpus())
+    hit = next(r for r in got if r["doc_id"] == 4)
+    assert hit["items"] == ["7"] and passage not in hit["clean_text"] and hit["clean_text"].startswith(" ".join(corpus()[4][1].split()[:10]))
+    assert all(r["clean_text"] == (t or "") for r in got for d, t, *_ in corpus() if d == r["doc_id"] and d in (0, 1, 300, 304))
+    blocks = decontamination.decontaminate(docs, bench, block_bytes=16, shard_words=50)
+    assert rows_of(blocks, "doc_id", "n_words", "spans", "items") == rows_of(decontamination.decontaminate(odd, bench), "doc_id", "n_words", "spans", "items")
+    assert decontamination.decontaminate(none, bench).count() == 0
+    assert decontamination.decontaminate(docs, bench.limit(0)).filter(F.size("spans") > 0).count() == 0
+
+
+def test_removal_leaves_no_phrase_that_it_makes():
+    phrases = decontamination.Phrases.of([("1", b"a b c")], 3)
+    assert decontamination.cleaned([b"x a b a b c c y"], phrases, [0]) == [b"x   y"]
+
+
+# 10 SimHash
+
+def test_fingerprint_by_definition():
+    import xxhash
+
+    rng = random.Random(3)
+    for text in ["", "  ", "A b", "One", words(rng, 50), words(rng, 3), "é É ß x y"]:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        w = WORD.findall(w)
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+        hashes = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text.encode()) == want
+
+
+def brute_components(prints):
+    u = np.unique(np.array(prints, np.int64)).view(np.uint64)
+    a, b = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 3)
+    root = simhash.roots_of(len(u), a, b)
+    return {int(np.int64(x)): int(r) for x, r in zip(u.view(np.int64), root, strict=True)}
+
+
+def partition(labels):
+    out: dict = {}
+    for k, v in labels.items():
+        out.setdefault(v, set()).add(k)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_links_connect_what_brute_force_connects(spark, bucket):
+    rng = random.Random(bucket)
+    prints = {rng.getrandbits(64) for _ in range(150)} | {0, (1 << 64) - 1}
+    for _ in range(40):  # clouds around some of them
+        p = rng.choice(sorted(prints))
+        prints |= {p ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 5))}) for _ in range(3)}
+    prints = [simhash.signed(p) for p in prints]
+    df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(3)
+    found = {r["node"]: r["root"] for r in components.components(simhash.links(df, bucket)).collect()}
+    assert partition({p: found.get(p, p) for p in prints}) == partition(brute_components(prints))
+
+
+def test_thresholds_keep_the_pigeonhole():
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 2, (500, 64)).astype(float)
+    bits[:, 10:20] = bits[:, :1]  # correlated
+    both = (bits.T @ bits).astype(np.int64)
+    assert set(range(10, 20)) <= set(simhash.group_bits(500, both, 4)[0])
+    for n in (500, 10**6, 10**9):
+        scaled = both * (n // 500)
+        for m in range(2, 7):
+            groups = simhash.group_bits(n, scaled, m)
+            assert sorted(sum(groups, [])) == list(range(64))
+            p = np.diag(scaled) / n
+            assert sum(simhash.allocate(n, p**2 + (1 - p) ** 2, groups)[1]) == 3 - m + 1
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 60)] + [(500, 500), (601, 600), (600, 601)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{100 + k: 100 for k in range(60)}, 600: 600, 601: 600}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_simhash_odd_tables(docs, odd, none):
+    got = simhash.simhash_components(docs)
+    prints = {(d, t): simhash.signed(simhash.fingerprint((t or "").encode())) for d, t, *_ in corpus()}
+    root = brute_components(list(prints.values()))
+    least: dict = {}
+    for (d, _), p in prints.items():
+        if d is not None:
+            least[root[p]] = min(least.get(root[p], d), d)
+    want = Counter((d, prints[d, t], least.get(root[prints[d, t]])) for d, t, *_ in corpus())
+    assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in got.collect()) == want
+    assert rows_of(got, "doc_id", "fp", "component_id") == rows_of(simhash.simhash_components(odd), "doc_id", "fp", "component_id")
+    assert simhash.simhash_components(none).count() == 0
+    kept = simhash.keep_one(docs).collect()
+    groups = Counter(root[prints[r["doc_id"], r["text"]]] for r in kept)
+    assert set(groups) == set(root.values()) and set(groups.values()) == {1}
+    assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == set(least.values())
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(none).count() == 0
+
+
+# 5 secrets
+
+def brute_secrets(s):
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", s, re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", s) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", s) if len(m[0]) >= 24]
+    return [(secrets.KINDS[k], a, b) for a, k, b in sorted(out)]
+
+
+def test_secrets_equal_the_expressions():
+    rng = random.Random(3)
+    bits = ["token", "Secret", "passwd", "password", "api_key", "apikey", "AKIA", "akia", '"', "'", " ", "=", ":", "abcdef", "0123456789abcdef", "é", "ſ", "K", "x", "==", "-", "\n", "A" * 18, "9f" * 12, "9f" * 11, "\U0001F600"]
+    for _ in range(5000):
+        s = "".join(rng.choices(bits, k=rng.randint(0, 25)))
+        assert [(x["kind"], x["start"], x["end"]) for x in secrets.secrets_in(s.encode())] == brute_secrets(s)
+
+
+def test_checksums_decide():
+    body = "Ab3" * 10
+    good = body + secrets.checksum(body.encode()).decode()
+    bad = body + "0" * 6
+    found = secrets.secrets_in(f"é ghp_{good} ghp_{bad} npm_{good}, npm_{bad}".encode())
+    assert [x["kind"] for x in found] == ["github", "npm"] and found[0]["start"] == 2 and found[0]["end"] == 42
+
+
+def test_secret_query_and_odd_tables(spark, docs, odd, none):
+    rows = spark.createDataFrame([(1, "é token = 'abc123x' AKIA" + "A" * 16 + " " + "0f" * 12), (2, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r["secrets"] for r in secrets.find_secrets(rows).collect()}
+    assert [tuple(x) for x in got[1]] == [("assign", 2, 18), ("access", 20, 40), ("hex", 41, 65)] and got[2] == got[3] == []
+    assert secrets.find_secrets(docs).count() == secrets.find_secrets(odd).count() == len(corpus()) and secrets.find_secrets(none).count() == 0
+
+
+# 8 quality
+
+def brute_statistics(s):
+    s = s or ""
+    w = WORD.findall(s)
+    seen, dup = set(), 0
+    for line in s.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {p for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in s), dup, len(covered)
+
+
+def test_quality_statistics_and_odd_tables(spark, docs, odd, none):
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    extra = [(900, "a b c a b c a b\nx\n\nx\n x\n \n|#|", "", "", 0), (901, "a a a a", "", "", 0), (902, "a b", "", "", 0)]
+    all_docs = docs.unionByName(spark.createDataFrame(extra, DOCS))
+    got = quality.quality(all_docs)
+    want = Counter((d, *brute_statistics(t)) for d, t, *_ in [*corpus(), *extra])
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == want
+    assert rows_of(quality.quality(odd), *names, "p_good") == rows_of(quality.quality(docs), *names, "p_good")
+    assert quality.quality(none).count() == 0
+
+
+def test_estimation_finds_the_rules_shares(spark):
+    """Votes drawn from known shares: the estimates come near, and posteriors sort good from bad."""
+    rng, rows, truth = random.Random(5), Counter(), []
+    shares = {True: (0.05, 0.15, 0.8), False: (0.7, 0.2, 0.1)}
+    for _ in range(4000):
+        good = rng.random() < 0.7
+        v = tuple(rng.choices((-1, 0, 1), shares[good], k=quality.RULES))
+        rows[v] += 1
+        truth.append((good, v))
+    model = quality.estimate(spark.createDataFrame([(list(v), n) for v, n in rows.items()], "votes array<int>, n long"))
+    state = model.first()["state"]
+    assert state["prior"] == pytest.approx(0.7, abs=0.03)
+    for j in range(quality.RULES):
+        assert state["good"][j] == pytest.approx(shares[True], abs=0.05) and state["bad"][j] == pytest.approx(shares[False], abs=0.05)
+    p = {tuple(r["v"]): r["p"] for r in model.select("state", F.explode("patterns").alias("x")).select(F.col("x.votes").alias("v"), quality.posterior(F.col("state"), F.col("x.votes")).alias("p")).collect()}
+    assert sum((p[v] >= 0.5) == good for good, v in truth) / len(truth) > 0.98
+
+
+def test_quality_plan_is_native(docs):
+    plan = quality.quality(docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 4 chunks
+
+def test_chunks_cover_texts_and_resist_insertions():
+    rng = random.Random(6)
+    text = words(rng, 2000).encode()
+    ends, a, _ = chunk_dedup.chunks(text)
+    assert ends[-1] == len(text) and (np.diff(ends) > 0).all()
+    moved = text[:100] + b" inserted " + text[100:]
+    again = set(chunk_dedup.chunks(moved)[1].tolist())
+    assert sum(x not in again for x in a.tolist()) <= 4
+    data = rng.randbytes(300)
+    want = []
+    for i in range(len(data)):
+        want.append(sum(int(chunk_dedup.GEAR[b]) << k for k, b in enumerate(reversed(data[max(0, i - 15) : i + 1]))) & 0xFFFF)
+    assert chunk_dedup.gear(np.frombuffer(data, np.uint8)).tolist() == want
+    for t in ("", "a", "é" * 5000, "a" * 20_000, "\U0001F600" * 3000):
+        ends = chunk_dedup.chunks(t.encode())[0]
+        assert (ends[-1] if len(ends) else 0) == len(t)
+
+
+def test_passages_are_found_and_cut(spark, docs, odd, none):
+    rng = random.Random(7)
+    passage = words(rng, 60, 10**6)
+    rows = [(k, f"{words(rng, 100, 10**6)} {passage} {words(rng, 50, 10**6)}") for k in range(8)] + [(50, words(rng, 300, 10**6)), (51, None), (52, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in chunk_dedup.find_repeats(df).collect()}
+    texts = dict(rows)
+    for k in range(8):
+        assert sum(s["end"] - s["start"] for s in found[k]["shared"]) > 0.5 * len(passage)
+        assert all(texts[k][s["start"] : s["end"]].strip() in passage for s in found[k]["shared"])
+        assert (found[k]["removed"] == []) == (k == 0) and found[k]["first_docs"] == ([0] if k else [])
+    assert all(found[k]["shared"] == [] for k in (50, 51, 52))
+    cut = df.join(chunk_dedup.find_repeats(df).select("doc_id", "removed"), "doc_id").select("doc_id", "text", "removed", chunk_dedup.cut_spans(F.col("text"), F.col("removed")).alias("clean"))
+    for r in cut.collect():
+        want, end = "", 0
+        for s in r["removed"]:
+            want, end = want + r["text"][end : s["start"]], s["end"]
+        assert r["clean"] == (None if r["text"] is None else want + r["text"][end:])
+    got = chunk_dedup.find_repeats(docs)
+    assert rows_of(got, "doc_id", "shared", "removed") == rows_of(chunk_dedup.find_repeats(odd), "doc_id", "shared", "removed")
+    copies = {r["doc_id"]: r for r in got.collect() if r["doc_id"] in range(100, 106)}
+    assert all(r["removed"] == [(0, len(corpus()[3][1]))] and r["first_docs"] == [3] for r in copies.values())
+    assert chunk_dedup.find_repeats(none).count() == 0
+
+
+# 7 tokens
+
+def test_counts_survive_blocks_of_any_size(spark, tmp_path):
+    rng = random.Random(8)
+    files, want = [], []
+    for f in range(3):
+        sizes = [rng.choice([0, 1, 5, 40]) for _ in range(rng.randint(0, 20))]
+        tokens = [t for n in sizes for t in [*(rng.randrange(9) for _ in range(n)), 9]]
+        if f == 1:
+            tokens, sizes = [*tokens, 1, 2, 3], [*sizes, 3]  # a last document without its separator
+        (tmp_path / f"f{f}").write_bytes(np.array(tokens, "<u2").tobytes())
+        files.append((f"f{f}", len(tokens)))
+        want += [(f"f{f}", k, n) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(files, "file string, tokens long")
+    for block in (1, 2, 7, 64, 1 << 20):
+        got = token_counts.count_tokens(str(tmp_path), df, end=9, block=block)
+        assert rows_of(got, "file", "n", "n_tokens") == sorted(want, key=repr)
+
+
+def test_tokens_of_documents(docs, odd, none):
+    folder, written = token_counts.write_tokens(odd)
+    files = written.filter("n < 0").select("file", F.col("doc_id").alias("tokens"))
+    got = written.filter("n >= 0").join(token_counts.count_tokens(folder, files, block=1000), ["file", "n"])
+    encode = token_counts.tokenizer(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}").encode_ordinary
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(encode(t or ""))) for d, t, *_ in corpus())
+    folder, written = token_counts.write_tokens(none)
+    assert written.filter("n >= 0").count() == 0
+
+
+# 3 toxicity
+
+def toxic_corpus(n, seed):
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for k in range(n):
+        w, bad = words(rng, 80).split(), k % 4 == 0
+        if bad:
+            for _ in range(rng.randint(2, 12)):
+                w[rng.randrange(80)] = rng.choice(["Vilest", "nastily", "horrid"]) + rng.choice(["", "o", "ax"])
+        docs.append((k, " ".join(w)))
+        labels.append((k, 1, int(bad)))
+    return docs, labels
+
+
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = toxic_corpus(600, 1)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([x for x in labels if x[0] < 400], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, y)
+    assert (np.diff(model.thresholds) > 0).all() and (model.weights >= 0).all()
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert sum((got[k]["p_toxic"] >= 0.5) == bool(t) for k, _, t in labels[400:]) >= 0.97 * 200
+    amount = {k: len(re.findall("vilest|nastily|horrid", t.lower())) for k, t in docs}
+    assert np.mean([got[k]["severity"] for k in got if amount[k] >= 9]) > np.mean([got[k]["severity"] for k in got if amount[k] in (2, 3)]) > 0.8
+
+
+def test_cumulative_link_fit_recovers_an_order():
+    rng = np.random.default_rng(2)
+    x = rng.poisson(1.0, 2000)
+    grades = np.minimum(3, (x + rng.logistic(0, 0.3, 2000) > [[0.5], [1.5], [2.5]]).sum(0))
+    w, t = toxicity.fit([([0], [float(v)]) if v else ([], []) for v in x], grades, 1, 3, ridge=0.01, steps=800)
+    assert w[0] == pytest.approx(1 / 0.3, rel=0.15) and t / w[0] == pytest.approx([0.5, 1.5, 2.5], abs=0.1)
+
+
+def test_toxicity_odd_tables(spark, docs, odd, none):
+    y = spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 1, 0), (None, 1, 1), (3, 1, None), (999, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(odd, y)
+    assert toxicity.score(odd, model).count() == len(corpus())
+    assert toxicity.score(docs, model).filter("p_toxic >= 0.5").count() == 0
+    empty = toxicity.train(none, y.limit(0))
+    assert toxicity.score(none, empty).count() == 0 and toxicity.score(docs, empty).filter("p_toxic > 0.01").count() == 0
+
+
+# 2 licenses
+
+def test_licenses_and_inheritance(spark, odd, none):
+    rng = random.Random(9)
+    lines = {n: t for n, t in licenses.TEMPLATES}
+    rows = [
+        ("a/LICENSE", lines["MIT"]), ("a/x.py", words(rng, 50)), ("a/b/y.py", f"{words(rng, 20)}\n{lines['GPL-3.0']}\n{words(rng, 80)}"),
+        ("a/b/z.py", words(rng, 40)), ("a/b/c/COPYING", lines["Apache-2.0"]), ("a/b/c/d/e.py", None), ("q/r.py", ""), ("top.py", words(rng, 9)), (None, "x"),
+    ]
+    df = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["license"], r["effective"], r["inherited_from"]) for r in licenses.license_scan(df).collect()}
+    assert got == {
+        "a/LICENSE": ("MIT", "MIT", None), "a/x.py": (None, "MIT", "a"), "a/b/y.py": ("GPL-3.0", "GPL-3.0", None), "a/b/z.py": (None, "MIT", "a"),
+        "a/b/c/COPYING": ("Apache-2.0", "Apache-2.0", None), "a/b/c/d/e.py": (None, "Apache-2.0", "a/b/c"), "q/r.py": (None, None, None), "top.py": (None, None, None), None: (None, None, None),
+    }
+    assert licenses.license_scan(odd, path="source").count() == len(corpus()) and licenses.license_scan(none, path="source").count() == 0
+
+
+def test_license_bound_skips_nothing():
+    rng = random.Random(10)
+    t = licenses.Templates(documents=1000, frequency={b"the": 900, b"of": 800, b"license": 5})
+    pool = [*t.known, *(b"u%d" % i for i in range(40))]
+    for _ in range(3000):
+        line = rng.choices(pool[: rng.randint(1, len(pool))] + pool[-5:], k=rng.randint(0, 40)) * rng.choice([1, 1, 3])
+        if t.best(line)[0] >= licenses.LEAST:
+            assert t.may_reach(line, licenses.LEAST)
+
+
+def test_license_vectors_by_definition():
+    t = licenses.Templates(documents=100, frequency={b"the": 90})
+    for k, (name, text) in enumerate(licenses.TEMPLATES):
+        cosine, best = t.best(licenses.words_of(text.encode()))
+        assert cosine == pytest.approx(1) and t.names[best] == name
+
+
+# the queries
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_queries_return_every_document(spark, name):
+    df = QUERIES[name](spark, SF)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    rows = df.collect()
+    assert len(rows) == n and len({r["doc_id"] for r in rows}) == n
+
+
+def test_secret_query_digest(spark):
+    texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
+    for r in QUERIES["op5_secret_scan"](spark, SF).collect():
+        want = brute_secrets(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for k, *_ in want) for x in ("assign", "access", "hex")]
