@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +69,21 @@ class Templates:
         self.matrix = np.array([[(1 + np.log(c[w])) * self.weight[w] if w in c else 0.0 for w in vocabulary] for c in counts])
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
         self.known = set(vocabulary)
+        self.square = {w: x * x for w, x in self.weight.items()}
 
     def may_reach(self, words: list[bytes], least: float) -> bool:
         """Whether the cosine can be ``least``, by an upper bound; most lines stop here.
 
-        (1 + log n) ** 2 is below 1.4716 n, so known words, of which there are at most
-        as many as words less unknown ones, make up so much of the vector at most.
+        No word comes more often than ``most`` times, which bounds the known words' part
+        of the vector from above; unknown words count once each, which bounds theirs from below.
         """
         distinct = set(words)
-        unknown = len(distinct - self.known)
-        return unknown < len(distinct) and 1.4716 * (len(words) - unknown) * (1 - least * least) >= least * least * unknown
+        known = distinct & self.known
+        if not known:
+            return False
+        most = 1 + log(len(words) - len(distinct) + 1)
+        own = most * most * sum(self.square[w] for w in known)
+        return own * (1 - least * least) >= least * least * self.rare * self.rare * (len(distinct) - len(known))
 
     def best(self, words: list[bytes]) -> tuple[float, int]:
         """Largest cosine and its template; the first among equals."""
