@@ -1,4 +1,8 @@
-"""Connected components of a link table, without gathering it anywhere."""
+"""Connected components of a link table, without gathering it anywhere.
+
+The least neighbours are written before they are joined: both sides of the join are
+then shuffled for it alone, and Spark can split the rows of a hub among tasks.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +15,13 @@ from .common import cut
 def large_star(links: DataFrame) -> DataFrame:
     """Joins each node's larger neighbours to its least neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
     """Joins each node and its smaller neighbours to the least of them. Links point down: u > v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(links.groupBy("u").agg(F.min("v").alias("m")))
     down = links.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -33,7 +37,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     links = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(rounds):
-        links = cut(small_star(large_star(links)).distinct())
+        links = cut(small_star(cut(large_star(links).distinct())).distinct())
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

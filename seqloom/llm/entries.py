@@ -23,17 +23,16 @@ WITH b AS (
   SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE text IS NOT NULL
 ), win AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, w[k : k + least(len(w), 10) - 1] AS p
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS p
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM b WHERE len(w) > 0)
 ), d AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
   FROM documents
 ), pos AS (
-  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda k: {'k': k, 'p': array_to_string(w[k : k + n - 1], ' ')})) AS x
+  FROM d CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n
 ), met AS (
-  SELECT pos.doc_id, pos.k, s.n, win.item_id
-  FROM pos CROSS JOIN (SELECT DISTINCT n FROM win) s
-  JOIN win ON win.n = s.n AND win.p = pos.w[pos.k : pos.k + s.n - 1]
+  SELECT pos.doc_id, pos.x.k AS k, pos.n, win.item_id FROM pos JOIN win ON win.n = pos.n AND win.p = pos.x.p
 ), hit AS (
   SELECT doc_id, count(DISTINCT h) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS h FROM met) GROUP BY doc_id
 ), items AS (
