@@ -36,8 +36,9 @@ def find_all_long(df: DataFrame, seq: str, query: ExactQuery, *keep: str, chunk:
 
 def spectrum(df: DataFrame, seq: str, k: int) -> DataFrame:
     """(kmer, n): how often each run of k symbols occurs."""
-    kmers = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(F.col(seq), i, F.lit(k)))
-    return df.filter(F.length(seq) >= k).select(F.explode(kmers).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
+    # a look ahead at each place captures the run that begins there
+    kmers = F.regexp_extract_all(F.col(seq), F.lit("(?=(.{%d}))" % k), F.lit(1))
+    return df.select(F.explode(kmers).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 def find_patterns(df: DataFrame, seq: str, patterns: list[str], *keep: str, comparator: str = "isequal", a: str = "DNA4") -> DataFrame:

@@ -16,20 +16,11 @@ def col(x: Column | int) -> Column:
     return F.lit(x) if isinstance(x, int) else x
 
 
-def running_starts(pieces: Column) -> Column:
-    """Where each piece of a split text begins, from 1."""
-    start = F.struct(F.lit(1).alias("next"), F.expr("cast(array() as array<int>)").alias("at"))
-    return F.aggregate(pieces, start, lambda acc, p: F.struct((acc["next"] + F.length(p)).alias("next"), F.array_append(acc["at"], acc["next"]).alias("at")), lambda acc: acc["at"])
+#: Stands in a copy of a text where a hit begins (and ends); no sequence has it.
+MARK, END = "\x01", "\x02"
 
 
-def greedy(starts: Column, size: int) -> Column:
-    """Of hits of one size those that don't overlap, from the left."""
-    if size <= 1:
-        return starts
-    begin = F.struct(F.lit(0).alias("last"), F.expr("cast(array() as array<int>)").alias("at"))
-
-    def step(acc, i):
-        take = i > acc["last"]
-        return F.struct(F.when(take, i + size - 1).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["at"], i)).otherwise(acc["at"]).alias("at"))
-
-    return F.aggregate(starts, begin, step, lambda acc: acc["at"])
+def places_of(mark: str, text: Column) -> Column:
+    """Places (from 1) of a character in a text, as an array; one pass over the text."""
+    found = F.transform(F.split(text, ""), lambda c, i: F.when(c == mark, i + 1))
+    return F.filter(found, lambda i: i.isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet, alphabet, escape, one_of, sequence
-from .common import RANGE, col, greedy, running_starts, span
+from .common import MARK, RANGE, col, places_of, span
 
 
 class ExactQuery:
@@ -57,15 +57,16 @@ class ExactQuery:
             return s.isNotNull()
         return F.contains(s, F.lit(self.pattern)) if self.comparator == "isequal" else s.rlike(self.regex)
 
-    def starts(self, s: Column) -> Column:
-        """Starts of all hits, overlapping ones too, by splitting before each."""
+    def starts(self, s: Column, overlap: bool = True) -> Column:
+        """Starts of all hits: each hit's first symbol is marked in a copy of equal length.
+
+        Looking ahead takes one symbol at a time and so finds overlapping hits too;
+        otherwise the whole hit is replaced and the next is sought behind it.
+        """
         if not self.size:
             return sequence(F.length(s) + 1)
-        pieces = F.split(s, f"(?={self.regex})")
-        at = running_starts(pieces)
-        # the first piece begins with the text, not necessarily with a hit
-        rest = F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0)))
-        return F.when(s.rlike(f"^(?:{self.regex})"), F.concat(F.array(F.lit(1)), rest)).otherwise(rest)
+        marked = F.regexp_replace(s, f"(?={self.regex}).", MARK) if overlap else F.regexp_replace(s, self.regex, MARK + "." * (self.size - 1))
+        return places_of(MARK, marked)
 
     def find_all(self, s: Column, overlap: bool = True, first: Column | int | None = None, last: Column | int | None = None) -> Column:
         """All hits; without ``overlap`` each is sought behind the one before. A part first..last is searched as if alone."""
@@ -73,8 +74,7 @@ class ExactQuery:
             first, last = col(first), col(last)
             hits = self.find_all(F.substring(s, first, F.greatest(last - first + 1, F.lit(0))), overlap)
             return F.transform(hits, lambda h: F.struct((h["start"] + first - 1).alias("start"), (h["stop"] + first - 1).alias("stop")))
-        at = self.starts(s) if overlap else greedy(self.starts(s), self.size)
-        return F.transform(at, lambda i: span(i, self.size)).cast(f"array<{RANGE}>")
+        return F.transform(self.starts(s, overlap), lambda i: span(i, self.size)).cast(f"array<{RANGE}>")
 
 
 def find_all(pattern: str, s: Column, overlap: bool = True, a: Alphabet | str = "DNA4") -> Column:
