@@ -7,7 +7,9 @@ left of the target. That gives exact block quotas for each source. A binary tree
 over the output shards splits the vector of quotas: each node draws the left
 half's share from a multivariate hypergeometric law, so leaves sum to exactly
 the quotas and each leaf is a fair sample. Leaves then draw disjoint runs of
-each source's permuted blocks, and rows are shuffled inside their output shard.
+each source's permuted blocks, and rows are shuffled inside their output shard: they
+get a random order there, and a large shard is sorted in as many pieces of its order
+as keep one task to about ``PIECE_WORDS`` words.
 
 The driver sees one row per source and block; sources are what weights are given
 for, so their number is that of a configuration, not of the data.
@@ -25,6 +27,7 @@ from .common import cut, n_words, table
 
 BLOCKS, OUT_SHARDS, SEED, MOST = 512, 64, 11, 3
 WEIGHTS = (5, 2, 1)
+PIECE_WORDS = 4_000_000
 #: Rows of a source-and-block table up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -118,7 +121,7 @@ def plan_mix(blocks: list[tuple], out_shards: int = OUT_SHARDS, weights: tuple =
 
 
 def mix_plan(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, blocks: int, out_shards: int, weights: tuple, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``docs`` with doc_id, size, source_size, target and copies: the output shard of each copy."""
+    """Rows of ``docs`` with doc_id, size, source_size, target, copies (the output shard of each copy) and pieces of a shard."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(blocks)).cast("int").alias("__block"),
@@ -131,15 +134,18 @@ def mix_plan(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, bl
         plan_mix([(r["__source"], r["__block"], r["w"]) for r in found], out_shards, weights, seed),
         "__s string, __b int, source_size long, target double, copies array<int>",
     )
+    words = sum(r["w"] for r in found)
     if len(found) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    return rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b"))).drop("__s", "__b")
+    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
+    return joined.drop("__s", "__b").withColumn("pieces", F.lit(max(1, -(-words // (out_shards * PIECE_WORDS)))))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, out_shards: int = OUT_SHARDS, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mix itself: a row of ``docs`` for each copy taken, with mix_shard and mix_order.
 
-    Rows stand in their output shard's partition in shuffled order. Null text
+    Rows of an output shard stand in shuffled order, a large shard's in
+    several partitions that each hold a range of that order. Null text
     has no words; a null source is a source of its own, the last. Sources
     without words get no target. A null id is dealt by its text. Repeated
     rows are rows of their own. An empty table gives an empty mix. If ``docs``
@@ -147,9 +153,13 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     keep = tuple(c for c in docs.columns if c.lower() not in ("mix_shard", "mix_order"))
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, blocks=blocks, out_shards=out_shards, weights=weights, seed=seed, keep=keep)
-    copies = plan.select("__keep", "doc_id", F.posexplode("copies").alias("__pass", "mix_shard"))
-    copies = copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__pass"), F.col("mix_shard")))
-    return copies.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order").select(*[F.col("__keep")[c].alias(c) for c in keep], "mix_shard", "mix_order")
+    copies = plan.select("__keep", "doc_id", "pieces", F.posexplode("copies").alias("__pass", "mix_shard"))
+    # the text's hash tells apart rows that have no id or the same one
+    text = [F.xxhash64(F.col("__keep")[text_col])] if text_col in keep else []
+    copies = copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__pass"), F.col("mix_shard"), *text))
+    # the order is a number of 64 bits; a piece holds as many of its upper 31 bits as any other
+    piece = F.floor(F.shiftrightunsigned("mix_order", 33) * F.col("pieces") / F.lit(float(1 << 31)))
+    return copies.withColumn("__piece", piece).repartition("mix_shard", "__piece").sortWithinPartitions("mix_shard", "__piece", F.shiftrightunsigned("mix_order", 33), "mix_order").select(*[F.col("__keep")[c].alias(c) for c in keep], "mix_shard", "mix_order")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
