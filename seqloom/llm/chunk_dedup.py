@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_bytes
 
-WINDOW, LEAST, MOST, CUT_BITS, RUN = 16, 16, 4096, 5, 96
+WINDOW, LEAST, MOST, CUT_BITS, RUN = 16, 16, 4096, 4, 80
 #: A random number of 16 bits for each byte, from a hash of the byte.
 GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=2, key=b"gear").digest() for i in range(256)), "<u2")
 
