@@ -60,6 +60,31 @@ def pfm(df: DataFrame, seq: str, family: str = "DNA") -> DataFrame:
     return wide.select(F.col("site").alias("pos"), F.explode(F.array(*[F.struct(F.lit(c).alias("sym"), F.coalesce(F.col(c), F.lit(0)).alias("value")) for c in symbols])).alias("x")).select("pos", "x.sym", "x.value")
 
 
+def matrix(spark, columns: list[list[float]], family: str = "DNA") -> DataFrame:
+    """A matrix (pos, sym, value) from its columns, four numbers for each place."""
+    symbols = "ACGU" if family == "RNA" else "ACGT"
+    if any(len(c) != 4 for c in columns):
+        raise ValueError("a matrix has four rows")
+    return spark.createDataFrame([(p, s, float(x)) for p, c in enumerate(columns, 1) for s, x in zip(symbols, c, strict=True)], "pos int, sym string, value double")
+
+
+def one_base(sym: str) -> str:
+    if sym not in tuple("ACGTU"):
+        raise ValueError(f"{sym!r} is not one base")
+    return sym
+
+
+def column_of(matrix: DataFrame, sym: str) -> DataFrame:
+    """(pos, value) of one base; an ambiguous symbol has no row of its own."""
+    return matrix.filter(F.col("sym") == one_base(sym)).select("pos", "value")
+
+
+def with_value(matrix: DataFrame, pos: int, sym: str, value: float) -> DataFrame:
+    """The matrix with another value at one place."""
+    here = (F.col("pos") == pos) & (F.col("sym") == one_base(sym))
+    return matrix.withColumn("value", F.when(here, F.lit(value)).otherwise(F.col("value")))
+
+
 def add_pseudo(matrix: DataFrame, count: float) -> DataFrame:
     return matrix.withColumn("value", F.col("value") + F.lit(count))
 

@@ -416,6 +416,15 @@ def test_matrices(spark):
         aggregates.pwm(aggregates.pfm(df, "s"), {"A": 1.0, "C": 0.0})
 
 
+def test_matrix_access(spark):
+    m = aggregates.matrix(spark, [[1, 2, 3, 4], [5, 6, 7, 8]], "RNA")
+    assert sorted(map(tuple, aggregates.column_of(m, "U").collect())) == [(1, 4.0), (2, 8.0)]
+    assert {(r["pos"], r["sym"]): r["value"] for r in aggregates.add_pseudo(aggregates.with_value(m, 2, "A", 0.0), 1).collect()}[2, "A"] == 1
+    for bad in (lambda: aggregates.column_of(m, "N"), lambda: aggregates.with_value(m, 1, "R", 0.0), lambda: aggregates.matrix(spark, [[1, 2]])):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_scores_and_search(spark):
     m, s = PWM([[1.0, 0.0, 0.1, 0.9], [0.1, 0.2, 0.2, 0.5], [0.2, 0.3, 0.0, 0.2]]), "ACGATNATCGCGTANTG"
     assert m.max_score == pytest.approx(1.8) and values(spark, m.score_at(S, 1), [s]) == pytest.approx([1.2])
