@@ -95,7 +95,7 @@ def count_tokens(folder: str, files: DataFrame, *, end: int = END, block: int =
 
     The separator isn't counted. Tokens after a file's last separator are a
     document of their own. A file without tokens has no documents. Files are
-    listed once each; there may be none.
+    listed once each; there may be none. All are read before this returns.
     """
     blocks = files.filter("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0), ((F.col("tokens") - 1) / block).cast("long"))).alias("block"))
     blocks = blocks.repartition("file", "block")
@@ -121,7 +121,16 @@ def count_tokens(folder: str, files: DataFrame, *, end: int = END, block: int =
     return found.select("file", "before", F.posexplode(F.concat(first, "inner", rest)).alias("k", "n_tokens")).select("file", (F.col("before") + F.col("k")).alias("n"), "n_tokens")
 
 
+def drop_tokens(folder: str) -> None:
+    """Deletes a folder of token files, whatever attempts left in it too."""
+    store, path = open_dir(folder)
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_dir(path)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     folder, written = write_tokens(table(spark, sf_dir, "documents"))
     files = written.filter("n < 0").select("file", F.col("doc_id").alias("tokens"))
-    return written.filter("n >= 0").join(count_tokens(folder, files), ["file", "n"]).select("doc_id", "n_tokens")
+    counts = count_tokens(folder, files)  # has read the files when it returns
+    drop_tokens(folder)
+    return written.filter("n >= 0").join(counts, ["file", "n"]).select("doc_id", "n_tokens")

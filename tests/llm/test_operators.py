@@ -429,8 +429,12 @@ def test_tokens_of_documents(docs, odd, none):
     got = written.filter("n >= 0").join(token_counts.count_tokens(folder, files, block=1000), ["file", "n"])
     encode = token_counts.tokenizer(f"{token_counts.TOKENIZERS}/{token_counts.VOCABULARY}").encode_ordinary
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(encode(t or ""))) for d, t, *_ in corpus())
+    token_counts.drop_tokens(folder)
+    assert token_counts.open_dir(folder)[0].get_file_info(token_counts.open_dir(folder)[1]).type.name == "NotFound"
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == Counter((d, len(encode(t or ""))) for d, t, *_ in corpus())
     folder, written = token_counts.write_tokens(none)
     assert written.filter("n >= 0").count() == 0
+    token_counts.drop_tokens(folder)
 
 
 # 3 toxicity
