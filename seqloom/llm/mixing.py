@@ -27,7 +27,7 @@ from .common import cut, n_words, table
 
 BLOCKS, OUT_SHARDS, SEED, MOST = 512, 64, 11, 3
 WEIGHTS = (5, 2, 1)
-PIECE_WORDS = 4_000_000
+PIECE_WORDS = 1_000_000
 #: Rows of a source-and-block table up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
