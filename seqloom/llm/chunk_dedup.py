@@ -137,9 +137,10 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     met = cut(each.join(again, "a", "left_semi"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "k")
     # written, so that both sides of the join are shuffled for it alone and Spark can split a frequent chunk's rows
-    first = cut(met.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    later = (F.col("first.row") != F.col("row")) | (F.col("first.k") != F.col("k"))
-    met = met.join(first, ["a", "b"]).select("row", F.struct("k", later.alias("later"), F.col("first.doc_id").alias("first")).alias("m"))
+    first = met.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = cut(first.select("a", "b", F.col("first.row").alias("first_row"), F.col("first.k").alias("first_k"), F.col("first.doc_id").alias("first_doc")))
+    later = (F.col("first_row") != F.col("row")) | (F.col("first_k") != F.col("k"))
+    met = met.join(first, ["a", "b"]).select("row", F.struct("k", later.alias("later"), F.col("first_doc").alias("first")).alias("m"))
     by_row = met.groupBy("row").agg(F.collect_list("m").alias("met"))
     joined = rows.select("row", "doc_id", "ends").join(by_row, "row", "left")
 
