@@ -259,11 +259,16 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: a row with the component's least doc_id.
+    """``docs`` with one row of each component: a row with the component's least doc_id."""
+    return keep_least(docs, simhash_components(docs, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
+
+
+def keep_least(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each root of ``labelled`` (doc_id, tkey, root, component_id).
 
     A component of null ids keeps one of its rows; of repeated rows with the least id one stays.
     """
-    found = cut(simhash_components(docs, id_col=id_col, text_col=text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    found = cut(labelled.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     one = found.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
     kept = cut(one.select(F.col("k.doc_id").alias("__id"), F.col("k.tkey").alias("__key")))
     doc_key = [F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.xxhash64(F.col(text_col)) == F.col("__key")]
