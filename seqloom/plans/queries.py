@@ -279,7 +279,7 @@ def find_approximate(s):
 
 @query()
 def find_approximate_compatible(s):
-    return picked(s, **parts(ApproximateQuery("GANTAC", "iscompatible").find_first(F.left("dna4", F.lit(80)), 1), "hit"))
+    return picked(s, **parts(ApproximateQuery("GANTAC", "iscompatible").find_first(C("dna4"), 1), "hit"))
 
 
 @query("SELECT doc_id, regexp_matches(dna4, '[AMRVWHDN](?:[CMSVYHBN][TWYHKDBN])+[GRSVKDBN]') AS occurs, nullif(regexp_extract(dna4, '[AMRVWHDN](?:[CMSVYHBN][TWYHKDBN])+[GRSVKDBN]'), '') AS matched FROM s")
