@@ -74,7 +74,7 @@ def from_symbols(symbols: Column, a: Alphabet | str) -> Column:
 
 def keep_symbols(text: Column, a: Alphabet | str) -> Column:
     """The symbols of a text, all other characters dropped; filtered before folding."""
-    return F.upper(F.regexp_replace(text, f"[^{either_case(alphabet(a))}]", ""))
+    return F.upper(F.regexp_replace(text, f"[^{either_case(alphabet(a))}]+", ""))
 
 
 def guess_alphabet(text: Column) -> Column:

@@ -61,7 +61,7 @@ def randseq(a: Alphabet | str, length: Column | int, *, key: Column, seed: int =
     """A random sequence of ``length`` symbols for each value of ``key``."""
     sampler = sampler or default_sampler(a)
     n = F.lit(length) if isinstance(length, int) else length
-    return F.when(n < 0, F.raise_error(F.lit("randseq: negative length")).cast("string")).otherwise(F.array_join(F.transform(sequence(n), lambda i: sampler.pick(uniform(F.lit(seed), key, i))), ""))
+    return F.when(n < 0, F.raise_error(F.lit("randseq: negative length")).cast("string")).when(n.isNotNull(), F.array_join(F.transform(sequence(n), lambda i: sampler.pick(uniform(F.lit(seed), key, i))), ""))
 
 
 def randdna(length: Column | int, **kw) -> Column:

@@ -91,7 +91,7 @@ def less(a: Column, b: Column, alpha: Alphabet | str = "DNA4") -> Column:
 
 def hashed(s: Column) -> Column:
     """Equal for equal sequences, whatever they were cut from."""
-    return F.xxhash64(s)
+    return F.when(s.isNotNull(), F.xxhash64(s))
 
 
 def is_palindromic(s: Column, family: str = "DNA") -> Column:

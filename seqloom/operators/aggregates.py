@@ -46,18 +46,34 @@ def one_hot(s: Column, a: Alphabet | str = "DNA4") -> Column:
     return F.transform(symbols_of(s), lambda c: F.array(*[try_encode(c, a).bitwiseAND(1 << k) != 0 for k in range(4)]))
 
 
+def counted(df: DataFrame, seq: str, aggs: list[Column], by: list[str] = ()) -> DataFrame:
+    """(by, site, n, aggregates over the symbols ``sym`` of the site); empty sequences count at a null site. One pass."""
+    each = df.select(*by, F.posexplode_outer(symbols_of(F.col(seq))).alias("site", "sym"))
+    return each.groupBy(*by, (F.col("site") + 1).alias("site")).agg(F.count("*").alias("n"), *aggs)
+
+
+def one_length() -> Column:
+    """Aggregate over the rows of ``counted``: whether all sequences have one length, none of them or all being empty."""
+    return (F.min("n") == F.max("n")) & ((F.count_if(F.col("site").isNull()) == 0) | (F.count("*") == 1))
+
+
 def pfm(df: DataFrame, seq: str, family: str = "DNA") -> DataFrame:
-    """(pos, sym, value): how often each base stands at each place; all places and bases, zeros too."""
+    """(pos, sym, value): how often each base stands at each place; all places and bases, zeros too.
+
+    The sequences are read once: their lengths are told from how many have each place. Both uses of
+    the counts share one shuffle, of a row for each place and task.
+    """
     symbols = "ACGU" if family == "RNA" else "ACGT"
     df = df.filter(F.col(seq).isNotNull())
     bad = F.col(seq).rlike(f"[^{'-ACMGRSVTUWYHKDBN'}]")
-    df = df.withColumn(seq, F.when(bad, F.raise_error(F.lit("ArgumentError: not nucleotides")).cast("string")).otherwise(F.col(seq)))
-    sizes = same_length(df, seq)
-    grid = sizes.select(F.when(F.col("n") > 0, F.col("len")).otherwise(F.raise_error(F.lit("ArgumentError: no sequences")).cast("int")).alias("len"))
-    counts = sites(df, seq).groupBy("site").agg(*[F.count(F.when(F.col("sym") == c, 1)).alias(c) for c in symbols])
-    places = grid.select(F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(1), F.col("len"))).otherwise(F.expr("cast(array() as array<int>)"))).alias("site"))
-    wide = places.join(counts, "site", "left")
-    return wide.select(F.col("site").alias("pos"), F.explode(F.array(*[F.struct(F.lit(c).alias("sym"), F.coalesce(F.col(c), F.lit(0)).alias("value")) for c in symbols])).alias("x")).select("pos", "x.sym", "x.value")
+    df = df.select(F.when(bad, F.raise_error(F.lit("ArgumentError: not nucleotides")).cast("string")).otherwise(F.col(seq)).alias(seq))
+    sites_of = counted(df, seq, [F.count(F.when(F.col("sym") == c, 1)).alias(c) for c in symbols])
+    check = sites_of.groupBy().agg(one_length().alias("ok"), F.count("*").alias("sites"))
+    wrong = F.raise_error(F.lit("DimensionMismatch: sequences of different lengths")).cast("int")
+    rows = sites_of.filter("site is not null").join(F.broadcast(check)).select(F.when(F.col("ok"), F.col("site")).otherwise(wrong).alias("pos"), *symbols)
+    none = check.filter("sites = 0").select(F.raise_error(F.lit("ArgumentError: no sequences")).cast("int").alias("pos"), *[F.lit(0).cast("long").alias(c) for c in symbols])
+    wide = rows.unionByName(none)
+    return wide.select("pos", F.explode(F.array(*[F.struct(F.lit(c).alias("sym"), F.col(c).alias("value")) for c in symbols])).alias("x")).select("pos", "x.sym", "x.value")
 
 
 def matrix(spark, columns: list[list[float]], family: str = "DNA") -> DataFrame:
@@ -113,19 +129,18 @@ def majority_vote(df: DataFrame, seq: str, family: str = "DNA", by: tuple[str, .
     votes give the symbol of them all; a gap wins only ahead of every base.
     """
     a = alphabet(f"{family}4")
-    df = df.filter(F.col(seq).isNotNull())
-    checked = same_length(df, seq, list(by))
     code = try_encode(F.col("sym"), a)
     votes = [F.sum(F.when(code.bitwiseAND(1 << k) != 0, 1).otherwise(0)).alias(f"v{k}") for k in range(4)]
-    counted = sites(df, seq, *by).groupBy(*by, "site").agg(*votes, F.sum(F.when(F.col("sym") == "-", 1).otherwise(0)).alias("gaps"))
+    rows = counted(df.filter(F.col(seq).isNotNull()), seq, [*votes, F.sum(F.when(F.col("sym") == "-", 1).otherwise(0)).alias("gaps")], list(by))
     top = F.greatest(*[F.col(f"v{k}") for k in range(4)])
     winner = sum((F.when(F.col(f"v{k}") == top, 1 << k).otherwise(0) for k in range(4)), F.lit(0))
     sym = F.when(F.col("gaps") > top, F.lit("-")).otherwise(F.get(F.split(F.lit(a.symbols), ""), winner))
+    place = F.when(F.col("site").isNotNull(), F.struct("site", sym.alias("sym")))
     # a consensus is one string, so its sites, as many as it has symbols, meet in one row
-    out = counted.select(*by, "site", sym.alias("sym")).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "sym"))), lambda x: x["sym"]), "").alias("consensus"))
-    condition = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by] or [F.lit(True)]
-    joined = checked.filter("n > 0 and len is not null").alias("l").join(out.alias("r"), condition if by else F.lit(1) == F.lit(1), "left")
-    return joined.select(*[F.col(f"l.{c}") for c in by], F.coalesce("consensus", F.lit("")).alias("consensus"))
+    out = rows.groupBy(*by).agg(one_length().alias("ok"), F.count("*").alias("sites"), F.array_sort(F.collect_list(place)).alias("places"))
+    wrong = F.raise_error(F.lit("DimensionMismatch: sequences of different lengths")).cast("string")
+    text = F.array_join(F.transform("places", lambda x: x["sym"]), "")
+    return out.filter("sites > 0").select(*by, F.when(F.col("ok"), text).otherwise(wrong).alias("consensus"))
 
 
 def join_ordered(df: DataFrame, seq: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:

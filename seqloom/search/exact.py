@@ -54,7 +54,7 @@ class ExactQuery:
 
     def occurs_in(self, s: Column) -> Column:
         if not self.size:
-            return s.isNotNull()
+            return F.when(s.isNotNull(), F.lit(True))
         return F.contains(s, F.lit(self.pattern)) if self.comparator == "isequal" else s.rlike(self.regex)
 
     def starts(self, s: Column, overlap: bool = True) -> Column:
@@ -64,7 +64,7 @@ class ExactQuery:
         otherwise the whole hit is replaced and the next is sought behind it.
         """
         if not self.size:
-            return sequence(F.length(s) + 1)
+            return F.when(s.isNotNull(), sequence(F.length(s) + 1))
         marked = F.regexp_replace(s, f"(?={self.regex}).", MARK) if overlap else F.regexp_replace(s, self.regex, MARK + "." * (self.size - 1))
         return places_of(MARK, marked)
 

@@ -1,15 +1,24 @@
-"""Position frequency and weight matrices: scores of windows and search."""
+"""Position frequency and weight matrices: scores of windows and search.
+
+Windows are scored by NumPy over Arrow batches, all of a text at once, one matrix column
+after the other.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import sequence
 from .common import col
 
+#: Row of the matrix for each byte; symbols other than the bases have none.
+CODES = np.full(256, 4, np.int64)
+CODES[[ord(c) for c in "ACGTU"]] = 0, 1, 2, 3, 3
+
 
 class PWM:
     """Scores of A, C, G and T (or U) at each place: ``columns[p]`` has four numbers."""
@@ -51,40 +60,58 @@ class PWM:
             total = total + F.when(c == "A", scores[0]).when(c == "C", scores[1]).when(c == "G", scores[2]).when((c == "T") | (c == "U"), scores[3]).otherwise(0.0)
         return F.when(place.between(1, F.length(s) - self.size + 1), total).when(s.isNotNull() & place.isNotNull(), F.raise_error(F.lit("BoundsError: window")).cast("double"))
 
-    def scores(self, s: Column) -> Column:
-        """Score of each window, as an array. Windows are read from an array of the symbols' numbers."""
-        codes = F.transform(F.array_remove(F.split(F.translate(s, "ACGTU", "01233"), ""), ""), lambda c: F.when(c.rlike("[0-3]"), c.cast("int")).otherwise(4))
-        table = F.array(*[F.array(*[F.lit(x) for x in [*scores, 0.0]]) for scores in self.columns])
+    def _scores(self, text: str) -> np.ndarray:
+        codes = CODES[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+        n = max(0, len(codes) - self.size + 1)
+        total = np.zeros(n)
+        for k, scores in enumerate(self.columns):
+            total += np.array([*scores, 0.0])[codes[k : k + n]]
+        return total
+
+    def _hits(self, text: str, threshold: float, start: int, stop: int) -> np.ndarray:
+        """Places from ``start`` to ``stop`` whose window scores ``threshold`` or more; only those windows are read."""
+        first, last = max(start, 1), min(stop, len(text) - self.size + 1)
+        if last < first:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(self._scores(text[first - 1 : last + self.size - 1]) >= threshold) + first
 
-        def window(c: Column) -> Column:
-            def total(i: Column) -> Column:
-                out = F.lit(0.0)
-                for k in range(self.size):
-                    out = out + F.get(F.get(table, F.lit(k)), F.get(c, i - 1 + k))
-                return out
+    def scores(self, s: Column) -> Column:
+        """Score of each window, as an array."""
 
-            return F.transform(sequence(F.size(c) - self.size + 1), total)
+        @F.pandas_udf("array<double>")
+        def score(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else self._scores(t) for t in texts])
 
-        return F.get(F.transform(F.array(codes), window), F.lit(0))
+        return score(s)
 
     def find_all(self, s: Column, threshold: float) -> Column:
         """Places whose window scores ``threshold`` or more."""
-        hits = F.transform(self.scores(s), lambda x, i: F.when(x >= threshold, i + 1))
-        return F.filter(hits, lambda i: i.isNotNull())
+
+        @F.pandas_udf("array<int>")
+        def search(texts: pd.Series) -> pd.Series:
+            return pd.Series([None if t is None else self._hits(t, threshold, 1, len(t)) for t in texts])
+
+        return search(s)
+
+    def _one(self, s: Column, threshold: float, start: Column, stop: Column, which: int) -> Column:
+        @F.pandas_udf("int")
+        def search(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+            found = [self._hits(t, threshold, int(a), int(b)) if t is not None and a == a and b == b else () for t, a, b in zip(texts, starts, stops, strict=True)]
+            return pd.Series([int(f[which]) if len(f) else None for f in found], dtype="Int32")
+
+        return search(s, start, stop)
 
     def find_next(self, s: Column, threshold: float, start: Column | int = 1) -> Column:
-        start = col(start)
-        return F.get(F.filter(self.find_all(s, threshold), lambda i: i >= start), F.lit(0))
+        return self._one(s, threshold, col(start), F.length(s), 0)
 
     def find_first(self, s: Column, threshold: float) -> Column:
         return self.find_next(s, threshold, 1)
 
     def find_prev(self, s: Column, threshold: float, start: Column | int) -> Column:
-        start = col(start)
-        return F.array_max(F.filter(self.find_all(s, threshold), lambda i: i <= start))
+        return self._one(s, threshold, F.lit(1), col(start), -1)
 
     def find_last(self, s: Column, threshold: float) -> Column:
-        return F.array_max(self.find_all(s, threshold))
+        return self.find_prev(s, threshold, F.length(s))
 
 
 def query_of(sequences: DataFrame, name: str, prior: list[float] = (0.25, 0.25, 0.25, 0.25)) -> PWM:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.alphabet import Alphabet, alphabet, one_of, sequence
+from ..functions.alphabet import Alphabet, alphabet, one_of, sequence, symbols_of
 from ..functions.edit import checked
 from .common import col
 
@@ -48,7 +48,24 @@ def find_all(s: Column, what: str, a: Alphabet | str = "DNA4", negate: bool = Fa
     return F.when(F.length(s) > 0, F.filter(F.transform(flags, lambda c, i: F.when(c == "\x01", i + 1)), lambda i: i.isNotNull())).otherwise(F.when(s.isNotNull(), sequence(F.lit(0))))
 
 
-def find_where(s: Column, test, last: bool = False) -> Column:
-    """First (or last) place whose symbol passes a function of a symbol column."""
-    hits = F.filter(F.transform(F.array_remove(F.split(s, ""), ""), lambda c, i: F.when(test(c), i + 1)), lambda i: i.isNotNull())
-    return F.get(hits, F.size(hits) - 1 if last else F.lit(0))
+def find_where(s: Column, test, start: Column | int = 1) -> Column:
+    """First place from ``start`` on whose symbol passes a function of a symbol column; an error before place 1."""
+    start = col(start)
+    at = F.get(_where(F.substring(s, F.greatest(start, F.lit(1)), F.length(s)), test), F.lit(0))
+    return checked(start >= 1, at + start - 1, "BoundsError: start", "int")
+
+
+def find_last_where(s: Column, test, start: Column | int | None = None) -> Column:
+    """Last place up to ``start`` (the last) whose symbol passes; an error beyond the end."""
+    start = F.length(s) if start is None else col(start)
+    at = F.array_max(_where(F.substring(s, F.lit(1), F.greatest(start, F.lit(0))), test))
+    return checked(start <= F.length(s), at, "BoundsError: start", "int")
+
+
+def find_all_where(s: Column, test) -> Column:
+    """All places whose symbol passes, as an array."""
+    return _where(s, test)
+
+
+def _where(s: Column, test) -> Column:
+    return F.filter(F.transform(symbols_of(s), lambda c, i: F.when(test(c), i + 1)), lambda i: i.isNotNull())

@@ -110,6 +110,33 @@ def test_indexing(spark):
         fails(spark, bad, "ACGT")
 
 
+def test_views_compose(spark):
+    view = edit.View.of(S, 3, 10).part(2, 7).part(2, 4)
+    assert values(spark, F.struct(view.text(), view.size, view.in_parent(2), view.at(3), view.put("ttt")), ["ABCDEFGHIJKL"]) == [("EFG", 3, 6, "G", "ABCDtttHIJKL")]
+    assert values(spark, edit.View.of(S).part(3, 2).text(), ["ACG"]) == [""]
+    for bad in (view.part(1, 4).text(), view.at(4), edit.View.of(S, 2, 13).text(), edit.View.of(S, 2, 5).part(0, 2).text()):
+        fails(spark, bad, "ABCDEFGHIJKL")
+
+
+def test_copying_text(spark):
+    assert values(spark, edit.copy_text(S, 2, T, "DNA2", 3, 2), [("AAAA", "!!cg!")], "s string, t string") == ["ACGA"]
+    assert values(spark, edit.copy_text(S, 1, T, "DNA4"), [("AAAA", "nn")], "s string, t string") == ["NNAA"]
+    for bad in (("AAAA", "cx"), ("AA", "acg")):
+        fails(spark, edit.copy_text(S, 1, T, "DNA2"), bad, "s string, t string")
+
+
+def test_masked_replacement_equals_plain_python(spark):
+    rows = [r for r in randomly(random.Random(2), "ACGT", (0, 1, 9, 40), 3)]
+    new = ["".join(random.Random(k).choices("NRY", k=sum(c in "AT" for c in r))) for k, r in enumerate(rows)]
+    want = []
+    for r, x in zip(rows, new, strict=True):
+        it = iter(x)
+        want.append("".join(next(it) if c in "AT" else c for c in r))
+    mask = F.transform(A.symbols_of(S), lambda c: c.isin("A", "T"))
+    assert values(spark, edit.put_masked(S, mask, T), list(zip(rows, new, strict=True)), "s string, t string") == want
+    fails(spark, edit.put_masked(S, mask, F.lit("N")), "AAC")
+
+
 @pytest.mark.parametrize(("col", "want"), [
     (edit.put(S, 2, "T"), "ATGTA"), (edit.put_range(S, 2, 3, "AA"), "AAATA"), (edit.put_at(S, F.array(F.lit(1), F.lit(5), F.lit(1)), "CGT"), "TCGTG"),
     (edit.put_masked(S, F.array(*map(F.lit, (True, False, False, False, True))), "GG"), "GCGTG"), (edit.copy_into(S, 2, "TTTT", 1, 2), "ATTTA"),
@@ -249,6 +276,24 @@ def test_random_sequences(spark):
     fails(spark, rand.randdna(C("i"), key=C("i")), (-1,), "i int")
 
 
+def test_random_draws_are_xxhash64_of_seed_key_and_place(spark):
+    import struct
+
+    import xxhash
+
+    def draw(seed, key, i):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        return xxhash.xxh64_intdigest(struct.pack("<i", i), h) % rand.STEPS / rand.STEPS
+
+    want = ["".join("ACGT"[int(4 * draw(1, k, i))] for i in range(1, 21)) for k in range(50)]
+    assert values(spark, rand.randdna(20, key=C("i"), seed=1), [(k,) for k in range(50)], "i long") == want
+    edges = (0.24, 0.48, 0.72, 0.96, 2.0)
+    noisy = rand.WeightedSampler(tuple("ACGTN"), (0.24, 0.24, 0.24, 0.24))
+    want = ["".join(next(s for s, e in zip("ACGTN", edges, strict=True) if draw(3, k, i) < e) for i in range(1, 21)) for k in range(50)]
+    assert values(spark, rand.randseq("DNA4", 20, key=C("i"), seed=3, sampler=noisy), [(k,) for k in range(50)], "i long") == want
+
+
 # symbol and exact search
 
 def test_symbol_search(spark):
@@ -257,7 +302,7 @@ def test_symbol_search(spark):
     assert row(symbols.find_first(S, "ambiguous")) == 4 and row(symbols.find_last(S, "gap")) == 7 and row(symbols.find_next(S, "gap", 2)) == 7
     assert row(symbols.find_prev(S, "gap", 6)) == 1 and row(symbols.find_first(S, "T")) is None and row(symbols.find_first(S, "gap", negate=True)) == 2
     assert row(symbols.find_next(S, "gap", 8)) is None and row(symbols.find_prev(S, "gap", 0)) is None and row(symbols.find_all(S, "gap")) == [1, 7]
-    assert row(symbols.find_where(S, lambda c: c.isin("G", "W"))) == 5 and row(symbols.find_where(S, lambda c: c.isin("G", "W"), last=True)) == 6
+    assert row(symbols.find_where(S, lambda c: c.isin("G", "W"))) == 5 and row(symbols.find_last_where(S, lambda c: c.isin("G", "W"))) == 6
     assert values(spark, symbols.find_all(S, "gap"), ["", None]) == [[], None]
     fails(spark, symbols.find_next(S, "gap", 0), s)
     fails(spark, symbols.find_prev(S, "gap", 8), s)
@@ -358,6 +403,21 @@ def test_approximate_search_limits(spark):
         ApproximateQuery("A" * 65)
     with pytest.raises(ValueError):
         ApproximateQuery("A").find_first(S, -1)
+    long = "T" * 150_000 + "GATTACA" + "T" * 50_000
+    assert values(spark, ApproximateQuery("GATCACA").find_first(S, 1), [long]) == [(150_001, 150_007)]
+
+
+def test_all_approximate_hits_and_other_comparators(spark):
+    rng, group = random.Random(9), {"A": "R", "G": "R", "C": "Y", "T": "Y"}
+    same_ring = lambda text, pattern: group[text] == group[pattern]
+    rows = ["", "A", *randomly(rng, "ACGT", (3, 9, 30), 4)]
+    for q, same, pattern, k in ((ApproximateQuery("ACGT"), str.__eq__, "ACGT", 1), (ApproximateQuery("ACGA", same_ring, "DNA2"), same_ring, "ACGA", 1)):
+        want = []
+        for r in rows:
+            best = ((j, min((edits(pattern, r[i - 1 : j], lambda p, t: same(t, p)), i) for i in range(1, j + 2))) for j in range(1, len(r) + 1))
+            want.append([(i, j) for j, (d, i) in best if d <= k])
+        assert values(spark, q.find_all(S, k), [*rows, None]) == [*want, None]
+    assert values(spark, ApproximateQuery("A").find_all(S, 1), ["AC"]) == [[(1, 0), (2, 1), (3, 2)]]
 
 
 # regular expressions
@@ -388,15 +448,81 @@ def test_captures_and_iteration(spark):
     assert (m[0]["start"], m[0]["stop"], m[0]["matched"], m[0]["captured"]) == (2, 3, "AG", [None, "G"]) and m[1:] == [None, None]
     assert values(spark, BioRegex("A", "DNA2").match(S, 3)["start"], ["ACA", "A"]) == [3, None] and values(spark, BioRegex("^A", "DNA2").match(S, 2), ["AA"]) == [None]
     rx = BioRegex("A*", "DNA2")
-    assert values(spark, rx.each(S), ["AAA", "CAA", "", "ACA", "AAC"]) == [["AAA"], ["", "AA"], [], ["A", "A"], ["AA"]]
+    assert values(spark, rx.each(S), ["AAA", "CAA", "", "ACA", "AAC"]) == [["AAA"], ["", "AA"], [""], ["A", "A"], ["AA"]]
     assert values(spark, BioRegex("A+C", "DNA2").each_range(S), ["AACTAC", "T", ""]) == [[(1, 3), (5, 6)], [], []]
     ways = values(spark, rx.each_way(S), ["AAA", "", None])
-    assert [w["matched"] for w in ways[0]] == ["AAA", "AA", "A", "", "AA", "A", "", "A", ""] and ways[1:] == [[], None]
+    assert [w["matched"] for w in ways[0]] == ["AAA", "AA", "A", "", "AA", "A", "", "A", ""] and [w["matched"] for w in ways[1]] == [""] and ways[2] is None
     lazy = values(spark, BioRegex("A+?C?", "DNA2").each_way(S), ["AAC"])[0]
     assert [(w["start"], w["matched"]) for w in lazy] == [(1, "A"), (1, "AAC"), (1, "AA"), (2, "AC"), (2, "A")]
     fails(spark, BioRegex("(A|A)*", "DNA2").each_way(S, most=10), "A" * 8)
 
 
+LONG = 200_000
+
+
+@pytest.mark.parametrize(("pattern", "native", "text", "found"), [
+    ("A(C|G)+T?", True, "A" + "CG" * (LONG // 2) + "T", ["A" + "CG" * (LONG // 2) + "T"]), ("(AC|G)+", False, "T" + "ACG" * (LONG // 3) + "T" + "G" * 9, ["ACG" * (LONG // 3), "G" * 9]),
+    ("(A|C|G)+T?", True, "ACG" * (LONG // 3), ["ACG" * (LONG // 3)]), ("(A?C?){1000}G", False, "AC" * 500 + "G", ["AC" * 500 + "G"]), ("((A|C){2})+", True, "AC" * (LONG // 2) + "A", ["AC" * (LONG // 2)]),
+    ("(A*)*", False, "", [""]), ("(A*C*)*", False, "TT", ["", ""]), ("A*", True, "", [""]), ("(?:A|CC)*?G", False, "CC" * (LONG // 4) + "G", ["CC" * (LONG // 4) + "G"]),
+])
+def test_expressions_on_long_and_empty_sequences(spark, pattern, native, text, found):
+    rx = BioRegex(pattern, "DNA2")
+    assert rx.native is native
+    assert values(spark, rx.each(S), [text, None]) == [found, None]
+    assert values(spark, rx.matched(S), [text]) == [found[0] if found else None] and values(spark, rx.occurs_in(S), [text, None]) == [bool(found), None]
+    at = text.index(found[0]) + 1
+    assert values(spark, rx.find_first(S), [text]) == [(at, at + len(found[0]) - 1)] and values(spark, rx.each_range(S), [text])[0][0] == (at, at + len(found[0]) - 1)
+
+
+def test_every_way_on_long_sequences(spark):
+    text = "C" * 5000 + "A" * 600 + "C" + "CG" * (LONG // 2)
+    found = values(spark, BioRegex("A+C", "DNA2").each_way(S), [text])[0]
+    assert [(w["start"], w["stop"]) for w in found] == [(k, 5601) for k in range(5001, 5601)]
+    assert len(values(spark, BioRegex("^(CG|T)+$", "DNA2").each_way(S), ["CG" * (LONG // 2) + "T"])[0]) == 1
+    caught = values(spark, BioRegex("(A|AC)(CG?)?T", "DNA2").each_way(S), ["ACGT"])[0]
+    assert [(w["matched"], w["captured"]) for w in caught] == [("ACGT", ["A", "CG"])]
+
+
+def every_way(pattern, text):
+    """All ways of an expression over A and C made of literals, groups, | and *: by Python's own parser, one (start, end) for each."""
+    from re import _parser
+
+    def run(items, at):
+        if not items:
+            yield at
+            return
+        (op, arg), rest = items[0], items[1:]
+        if str(op) == "LITERAL":
+            if text[at : at + 1] == chr(arg):
+                yield from run(rest, at + 1)
+        elif str(op) == "IN":
+            if text[at : at + 1] in [chr(c) for _, c in arg] and at < len(text):
+                yield from run(rest, at + 1)
+        elif str(op) == "BRANCH":
+            for option in arg[1]:
+                for end in run(list(option), at):
+                    yield from run(rest, end)
+        elif str(op) == "SUBPATTERN":
+            for end in run(list(arg[3]), at):
+                yield from run(rest, end)
+        else:
+            least, most, body = arg
+            for end in run(list(body), at) if most else ():
+                if end > at:
+                    yield from run([(op, (max(least - 1, 0), most if most is _parser.MAXREPEAT else most - 1, body)), *rest], end)
+            if not least:
+                yield from run(rest, at)
+
+    return [(s, e) for s in range(max(1, len(text))) for e in run(list(_parser.parse(pattern)), s)]
+
+
+@pytest.mark.parametrize("pattern", ["A*C?", "(A|AC)*", "(A(C|A)*){1,2}", "((A|C)A)+C?"])
+def test_every_way_equals_brute_force(spark, pattern):
+    rows = ["", *randomly(random.Random(4), "AC", (1, 3, 7), 5)]
+    found = values(spark, BioRegex(pattern, "DNA2").each_way(S), rows)
+    assert [[(w["start"] - 1, w["stop"]) for w in f] for f in found] == [every_way(pattern, r) for r in rows]
+
+
 # matrices and consensus
 
 def test_matrices(spark):
