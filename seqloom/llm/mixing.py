@@ -1,18 +1,18 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt by hash into ``BLOCKS`` blocks. A source's
-target, in words, fixes which of its blocks the mix takes and how often: whole
+Each source's documents are dealt by hash of id and text into ``BLOCKS`` blocks (fewer if
+sources are so many that their blocks would exceed ``CELLS``). A source's target, in words, fixes which of its blocks the mix takes and how often: whole
 passes first, then blocks in a seeded permutation as long as they fit what is
 left of the target. That gives exact block quotas for each source. A binary tree
 over the output shards splits the vector of quotas: each node draws the left
 half's share from a multivariate hypergeometric law, so leaves sum to exactly
 the quotas and each leaf is a fair sample. Leaves then draw disjoint runs of
-each source's permuted blocks, and rows are shuffled inside their output shard: they
-get a random order there, and a large shard is sorted in as many pieces of its order
-as keep one task to about ``PIECE_WORDS`` words.
+each source's permuted blocks, and rows are shuffled inside their output shard: each
+copy has its shard and a random place in it, and a large shard is sorted in as many pieces
+of its order as keep one task to about ``PIECE_WORDS`` words.
 
-The driver sees one row per source and block; sources are what weights are given
-for, so their number is that of a configuration, not of the data.
+The driver sees one row per source and block: at most ``CELLS`` rows, or one for each
+source if there are more sources than that.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import cut, n_words, table
 BLOCKS, OUT_SHARDS, SEED, MOST = 512, 64, 11, 3
 WEIGHTS = (5, 2, 1)
 PIECE_WORDS = 1_000_000
+#: Rows of source and block that reach the driver, at most (unless there are more sources).
+CELLS = 1 << 18
 #: Rows of a source-and-block table up to which it is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -94,7 +96,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
 
 def plan_mix(blocks: list[tuple], out_shards: int = OUT_SHARDS, weights: tuple = WEIGHTS, seed: int = SEED) -> list[tuple]:
     """From rows (source, block, words) rows (source, block, source_size, target, output shard of each copy)."""
-    names = sorted({b[0] for b in blocks}, key=lambda s: (s is None, s or ""))
+    names = sorted({b[0] for b in blocks}, key=lambda s: (s is None, s or ""))  # by code point, null last
     own: dict = {s: [] for s in names}
     for s, b, w in blocks:
         own[s].append((b, w))
@@ -120,25 +122,38 @@ def plan_mix(blocks: list[tuple], out_shards: int = OUT_SHARDS, weights: tuple =
     return out
 
 
-def mix_plan(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, blocks: int, out_shards: int, weights: tuple, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``docs`` with doc_id, size, source_size, target, copies (the output shard of each copy) and pieces of a shard."""
+def block_words(rows: DataFrame, blocks: int, most: int = CELLS) -> tuple[int, DataFrame]:
+    """Blocks of a source, halved until all sources' fit ``most``, and the words of each: __source, b, w."""
+    while True:
+        found = cut(rows.groupBy("__source", F.pmod("__hash", F.lit(blocks)).cast("int").alias("b")).agg(F.sum("size").alias("w")))
+        if blocks == 1 or found.count() <= most:
+            return blocks, found
+        blocks //= 2
+
+
+def mix_plan(docs: DataFrame, *, id_col: str, text_col: str, source_col: str, blocks: int, out_shards: int, weights: tuple, seed: int, keep: tuple[str, ...] = (), most_cells: int = CELLS) -> DataFrame:
+    """Rows of ``docs`` with doc_id, size, source_size, target, pieces of a shard, and copies: mix_shard and mix_order of each."""
+    text = F.xxhash64(F.col(text_col))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(blocks)).cast("int").alias("__block"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), n_words(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__hash"),
         F.struct(*[F.col(c) for c in keep]).alias("__keep") if keep else F.lit(None).cast("int").alias("__keep"),
     )
     if not keep:
         rows = cut(rows)
-    found = rows.groupBy("__source", "__block").agg(F.sum("size").alias("w")).collect()
+    blocks, cells = block_words(rows, blocks, most_cells)
+    found = cells.collect()
     plan = docs.sparkSession.createDataFrame(
-        plan_mix([(r["__source"], r["__block"], r["w"]) for r in found], out_shards, weights, seed),
-        "__s string, __b int, source_size long, target double, copies array<int>",
+        plan_mix([(r["__source"], r["b"], r["w"]) for r in found], out_shards, weights, seed),
+        "__s string, __b int, source_size long, target double, __homes array<int>",
     )
     words = sum(r["w"] for r in found)
     if len(found) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    return joined.drop("__s", "__b").withColumn("pieces", F.lit(max(1, -(-words // (out_shards * PIECE_WORDS)))))
+    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.pmod("__hash", F.lit(blocks)).cast("int") == F.col("__b")))
+    # a random place in the shard, by document, pass and shard
+    copies = F.transform("__homes", lambda home, k: F.struct(home.alias("mix_shard"), F.xxhash64(F.lit(seed), F.col("__hash"), k, home).alias("mix_order")))
+    joined = joined.select("doc_id", "__source", "size", "source_size", "target", copies.alias("copies"), "__keep")
+    return joined.withColumn("pieces", F.lit(max(1, -(-words // (out_shards * PIECE_WORDS)))))
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS, out_shards: int = OUT_SHARDS, weights: tuple = WEIGHTS, seed: int = SEED) -> DataFrame:
@@ -147,21 +162,20 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Rows of an output shard stand in shuffled order, a large shard's in
     several partitions that each hold a range of that order. Null text
     has no words; a null source is a source of its own, the last. Sources
-    without words get no target. A null id is dealt by its text. Repeated
-    rows are rows of their own. An empty table gives an empty mix. If ``docs``
+    without words get no target. Documents are dealt by id and text, so rows that
+    repeat both are taken together. An empty table gives an empty mix. If ``docs``
     itself has columns called mix_shard or mix_order, the new ones replace them.
     """
     keep = tuple(c for c in docs.columns if c.lower() not in ("mix_shard", "mix_order"))
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, blocks=blocks, out_shards=out_shards, weights=weights, seed=seed, keep=keep)
-    copies = plan.select("__keep", "doc_id", "pieces", F.posexplode("copies").alias("__pass", "mix_shard"))
-    # the text's hash tells apart rows that have no id or the same one
-    text = [F.xxhash64(F.col("__keep")[text_col])] if text_col in keep else []
-    copies = copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__pass"), F.col("mix_shard"), *text))
+    copies = plan.select("__keep", "pieces", F.explode("copies").alias("__copy")).select("__keep", "pieces", "__copy.mix_shard", "__copy.mix_order")
     # the order is a number of 64 bits; a piece holds as many of its upper 31 bits as any other
     piece = F.floor(F.shiftrightunsigned("mix_order", 33) * F.col("pieces") / F.lit(float(1 << 31)))
     return copies.withColumn("__piece", piece).repartition("mix_shard", "__piece").sortWithinPartitions("mix_shard", "__piece", F.shiftrightunsigned("mix_order", 33), "mix_order").select(*[F.col("__keep")[c].alias(c) for c in keep], "mix_shard", "mix_order")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Words taken of each document, and for each copy the output shard that the tree gave it and its place there."""
     plan = mix_plan(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", source_col="source", blocks=BLOCKS, out_shards=OUT_SHARDS, weights=WEIGHTS, seed=SEED)
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"))
+    taken = (F.col("size") * F.size("copies")).alias("taken")
+    return plan.select("doc_id", "size", "source_size", "target", taken, F.col("copies.mix_shard").alias("mix_shards"), F.col("copies.mix_order").alias("mix_orders"))
