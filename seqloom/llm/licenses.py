@@ -1,10 +1,13 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Every line of a text, and the text as a whole, is a vector over the words of the
-license templates, weighed by inverse document frequency over all documents. A
-word that no template has weighs like the rarest one: it only lengthens the vector. The
-template with the largest cosine is the line's, if that reaches ``LEAST``; a text
-takes the license of its best line, or of the whole (for license files).
+Every line of a text, every block of neighbouring lines that share words with the templates
+(a header wrapped over comment lines, a whole licence), and the text as a whole is a vector
+over the words of the license templates, weighed by inverse document frequency over all
+documents; numbers, which tell versions apart, weigh ``VERSION`` times that. A word that no template
+has weighs like the rarest one: it only lengthens the vector. The template with the
+largest cosine is the unit's, if that reaches ``LEAST``; a text takes the license of its
+best unit, of equal ones the longest. If that has several lines and four fifths of the words, the text
+stands for a license file.
 
 A text without one of its own inherits from the nearest directory above it that has a
 license file: each path joins the directories with license files by each of its
@@ -24,35 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table, text_bytes
+from .license_texts import TEMPLATES
 
 LEAST = 0.6
 WORDS = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
-# Short notices by which files state the license they are under.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
+VERSION = 3.0
+NUMBER = re.compile(rb"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
 
 
 def words_of(line: bytes) -> list[bytes]:
-    return WORDS.findall(line.lower())
+    """Words in lower case; 2.0 and v2 are 2."""
+    return [m[1] if w[-1] < 58 and (m := NUMBER.fullmatch(w)) else w for w in WORDS.findall(line.lower())]
 
 
 class Templates:
@@ -63,7 +48,7 @@ class Templates:
         counts = [Counter(words_of(text.encode())) for _, text in rows]
         vocabulary = sorted({w for c in counts for w in c})
         frequency = frequency or {}
-        self.weight = {w: float(np.log((1 + documents) / (1 + frequency.get(w, 0))) + 1) for w in vocabulary}
+        self.weight = {w: float(np.log((1 + documents) / (1 + frequency.get(w, 0))) + 1) * (VERSION if w[0] < 58 else 1) for w in vocabulary}
         self.rare = float(np.log(1 + documents) + 1)
         self.number = {w: k for k, w in enumerate(vocabulary)}
         self.matrix = np.array([[(1 + np.log(c[w])) * self.weight[w] if w in c else 0.0 for w in vocabulary] for c in counts])
@@ -96,20 +81,41 @@ class Templates:
         k = int(cosine.argmax())
         return float(cosine[k]), k
 
-    def of_text(self, text: bytes, least: float = LEAST) -> tuple[str | None, float, int | None]:
-        """License, cosine and line (from 0; None: the whole text) of a text."""
+    def units(self, lines: list[list[bytes]]) -> Iterator[tuple[int, int | None, list[bytes]]]:
+        """(first line, line of its own or None, words) of all that is compared: lines, blocks, the whole.
+
+        A block is a run of lines half of whose words, at least, are the templates'; lines without
+        words don't end it.
+        """
+        block: list[int] = []
+        for i, words in enumerate([*lines, [b""]]):
+            if words and 2 * sum(w in self.known for w in words) >= len(words):
+                block.append(i)
+                yield i, i, words
+            elif words:
+                if len(block) > 1:
+                    yield block[0], None, [w for k in block for w in lines[k]]
+                block = []
+                if i < len(lines):
+                    yield i, i, words
+        if len(lines) > 1:
+            yield 0, None, [w for words in lines for w in words]
+
+    def of_text(self, text: bytes, least: float = LEAST) -> tuple[str | None, float, int | None, bool]:
+        """License, cosine, first line (from 0) of the best unit of a text, and whether it is several lines with four fifths of the words."""
         lines = [words_of(x) for x in text.split(b"\n")]
-        best: tuple[float, int, int | None] = (0.0, -1, None)
-        for i, words in enumerate(lines):
+        total = sum(map(len, lines))
+        best: tuple[float, int, int, int, int | None] = (0.0, 0, -1, 0, None)
+        for first, line, words in self.units(lines):
             if self.may_reach(words, least):
                 c, k = self.best(words)
-                if c > best[0]:
-                    best = (c, k, i)
-        if len(lines) > 1 and self.may_reach(whole := [w for words in lines for w in words], least):
-            c, k = self.best(whole)
-            if c > best[0]:
-                best = (c, k, None)
-        return (self.names[best[1]], best[0], best[2]) if best[0] >= least else (None, best[0], None)
+                c = round(c, 9)  # equal but for the order of a sum
+                if (c, len(words)) > best[:2]:
+                    best = (c, len(words), k, first, line)
+        c, n, k, first, line = best
+        if c < least:
+            return None, c, None, False
+        return self.names[k], c, first, line is None and 5 * n >= 4 * total
 
 
 def frequencies(docs: DataFrame, text_col: str, rows: tuple = TEMPLATES) -> tuple[int, dict[bytes, int]]:
@@ -130,18 +136,18 @@ def frequencies(docs: DataFrame, text_col: str, rows: tuple = TEMPLATES) -> tupl
 
 
 def own_licenses(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = LEAST, rows: tuple = TEMPLATES) -> DataFrame:
-    """Columns ``keep`` of each row with license, cosine and line of its own text; null and empty texts have none."""
+    """Columns ``keep`` of each row with license, cosine, line and whole (it is four fifths of the text) of its own text; null and empty texts have none."""
     documents, frequency = frequencies(docs, text_col, rows)
     templates = Templates(rows, frequency, documents)
     picked = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), text_bytes(text_col).alias("text"))
-    schema = picked.select("kept").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(0.0), "line": F.lit(None).cast("int")}).schema
+    schema = picked.select("kept").withColumns({"license": F.lit(None).cast("string"), "cosine": F.lit(0.0), "line": F.lit(None).cast("int"), "whole": F.lit(False)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [templates.of_text(t.as_py(), least) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32()))]], names=["kept", "license", "cosine", "line"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.bool_()))]], names=["kept", "license", "cosine", "line", "whole"])
 
-    return picked.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in keep], "license", "cosine", "line")
+    return picked.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in keep], "license", "cosine", "line", "whole")
 
 
 def inherit(files: DataFrame, *, path_col: str = "path", license_col: str = "license", is_license_file: str = r"(?i)(^|/)(license|licence|copying|unlicense)[^/]*$") -> DataFrame:
@@ -149,33 +155,36 @@ def inherit(files: DataFrame, *, path_col: str = "path", license_col: str = "lic
 
     A license file speaks for its directory; of several there the least license counts.
     Paths have / between parts; '' is the topmost directory. A null path inherits
-    nothing. The directories' table is not broadcast unless Spark measures it small.
+    nothing. Repeated rows stay rows of their own. Columns of ``files`` may have any names but
+    those of the two results. The directories' table is not broadcast unless Spark measures it small.
     """
+    names = files.columns
+    files = files.select(F.struct(*[F.col(c) for c in names]).alias("__file"), F.col(path_col).alias("__path"), F.col(license_col).alias("__license"))
     rows = cut(files.withColumn("__row", F.monotonically_increasing_id()))
+    path_col, license_col = "__path", "__license"
     parent = F.regexp_replace(F.col(path_col), r"/?[^/]*$", "")
     dirs = rows.filter(F.col(path_col).rlike(is_license_file) & F.col(license_col).isNotNull()).groupBy(parent.alias("__dir")).agg(F.min(license_col).alias("__inherits"))
     need = rows.filter(F.col(license_col).isNull() & F.col(path_col).isNotNull()).select("__row", F.split(F.col(path_col), "/").alias("__parts"))
     above = F.transform(F.sequence(F.lit(0), F.size("__parts") - 1), lambda n: F.array_join(F.slice("__parts", 1, n), "/"))
     found = need.select("__row", F.explode(above).alias("__dir")).join(dirs, "__dir").groupBy("__row").agg(F.max_by(F.struct("__dir", "__inherits"), F.length("__dir")).alias("__best"))
     out = rows.join(found, "__row", "left")
-    return out.select(*[F.col(c) for c in files.columns], F.coalesce(F.col(license_col), F.col("__best.__inherits")).alias("effective"), F.col("__best.__dir").alias("inherited_from"))
+    return out.select(*[F.col("__file")[c].alias(c) for c in names], F.coalesce(F.col(license_col), F.col("__best.__inherits")).alias("effective"), F.col("__best.__dir").alias("inherited_from"))
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str = "path", least: float = LEAST) -> DataFrame:
-    """doc_id, path, license, cosine, line, effective, inherited_from of each row of ``docs``.
+    """doc_id, path, license, cosine, line, whole, effective, inherited_from of each row of ``docs``.
 
     ``path`` is an SQL expression. A file is a license file by its name, or if its
-    whole text, of several lines, is the best match. The cosine of a text without a
-    license is that of its best line of those that could reach ``least``. Repeated rows stay; an empty table gives no rows;
+    whole text, of several lines, is the best match. ``line`` is the first of the best unit. The cosine of a text without a
+    license is that of its best unit of those that could reach ``least``. Repeated rows stay; an empty table gives no rows;
     names of other columns don't matter.
     """
     files = docs.select(F.col(id_col).alias("doc_id"), F.expr(path).alias("path"), F.col(text_col).alias("text"))
     found = own_licenses(files, text_col="text", keep=("doc_id", "path"), least=least)
     # a file that is nothing but a license stands for a license file of its directory
-    whole = F.col("license").isNotNull() & F.col("line").isNull()
-    named = F.when(whole, F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("LICENSE"))).otherwise(F.col("path"))
+    named = F.when(F.col("whole"), F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.lit("LICENSE"))).otherwise(F.col("path"))
     out = inherit(found.withColumn("__named", named), path_col="__named")
-    return out.select("doc_id", "path", "license", "cosine", "line", "effective", "inherited_from")
+    return out.select("doc_id", "path", "license", "cosine", "line", "whole", "effective", "inherited_from")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
