@@ -3,12 +3,13 @@
 Features of a text are its words and their first 4 to 8 bytes. The model has one
 weight vector (none is negative) for all grades and ordered thresholds:
 P(grade > k) = sigmoid(w x - t_k). Its output is the expected severity, the sum of
-these probabilities. x holds 1 + log(count) of at most ``FEATURES`` telling features:
-those that stand in toxic documents more often than chance allows.
+these probabilities. x holds 1 + log(count) of the telling features: those that stand in
+toxic documents more often than chance allows.
 
 The model is fitted on at most ``SAMPLE`` labelled documents of each class, the
-least by a hash of their id: a documented bound that keeps what comes to the driver
-small. Labels that only say toxic or not become grades: toxic documents are graded 1 to
+least by a hash of their id, one text of each: a documented bound that keeps what comes to
+the driver small, features too, as each stands in several of these texts. A class beyond the
+bound weighs in the fit what all its documents would, so verdicts don't depend on the bound. Labels that only say toxic or not become grades: toxic documents are graded 1 to
 ``GRADES`` by how much of the telling features they hold. All documents are scored,
 whole texts, in one pass without a shuffle.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, text_bytes
 
-SAMPLE, FEATURES, GRADES, SEED = 8000, 4096, 3, 5
+SAMPLE, GRADES, SEED = 8000, 3, 5
 #: Least evidence of a feature (minus the log of its chance), the ridge penalty, and steps of the fit.
 EVIDENCE, RIDGE, STEPS = 10.0, 0.5, 400
 PREFIXES = (4, 5, 6, 7, 8)
@@ -63,17 +64,20 @@ def counts_of(words: list[bytes], known: Known) -> Counter:
     return Counter(k for found in map(known.__getitem__, words) if found for k in found)
 
 
-def fit(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, n_features: int, n_grades: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, n_features: int, n_grades: int, ridge: float = RIDGE, steps: int = STEPS, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the cumulative-link model.
 
-    Maximum likelihood with a ridge penalty on the weights, by Adam over all rows.
+    Maximum likelihood with a ridge penalty on the weights, by Adam over all rows, each counting
+    ``weights`` times (once).
     Thresholds are the first one and positive steps, so they stay in order.
     """
     n = len(rows)
+    mass = np.ones(n) if weights is None else weights
+    total = mass.sum()
     row = np.repeat(np.arange(n), [len(f) for f, _ in rows])
     col = np.array([k for f, _ in rows for k in f], np.int64)
     val = np.array([x for _, v in rows for x in v], float)
-    share = [(np.sum(grades > k) + 0.5) / (n + 1) for k in range(n_grades)]
+    share = [(mass[grades > k].sum() + 0.5) / (total + 1) for k in range(n_grades)]
     start = np.array([np.log((1 - p) / p) for p in share])
     theta = np.concatenate([np.zeros(n_features), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     m = v = np.zeros_like(theta)
@@ -94,12 +98,12 @@ def fit(rows: list[tuple[list[int], list[float]]], grades: np.ndarray, n_feature
         d = np.concatenate([np.zeros((n, 1)), at_most * (1 - at_most), np.zeros((n, 1))], 1)
         i = np.arange(n)
         p = np.maximum(f[i, grades + 1] - f[i, grades], 1e-12)
-        hi, lo = d[i, grades + 1] / p, d[i, grades] / p
-        g_score = (hi - lo) / n
-        g_t = np.array([(np.where(grades == k, -hi, 0) + np.where(grades == k + 1, lo, 0)).sum() / n for k in range(n_grades)])
+        hi, lo = mass * d[i, grades + 1] / p / total, mass * d[i, grades] / p / total
+        g_score = hi - lo
+        g_t = np.array([(np.where(grades == k, -hi, 0) + np.where(grades == k + 1, lo, 0)).sum() for k in range(n_grades)])
         up = np.exp(theta[n_features + 1 :])
         tail = np.cumsum(g_t[::-1])[::-1]
-        grad = np.concatenate([np.bincount(col, val * g_score[row], n_features) + ridge * w / max(n, 1), tail[:1], tail[1:] * up])
+        grad = np.concatenate([np.bincount(col, val * g_score[row], n_features) + ridge * w / max(total, 1), tail[:1], tail[1:] * up])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         theta[:n_features] = np.maximum(theta[:n_features], 0)
@@ -119,7 +123,7 @@ class Model:
 
 
 def select(docs: DataFrame, labelled: DataFrame) -> list[int]:
-    """The features that tell toxic from other labelled documents best, by how unlikely chance makes it."""
+    """The features that tell toxic from other labelled documents, the least likely by chance first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # toxic documents count in the high half; a full table is passed on, to be summed later
@@ -151,18 +155,22 @@ def select(docs: DataFrame, labelled: DataFrame) -> list[int]:
     # Chernoff bound on so many toxic documents among those with the feature
     evidence = F.col("yes") * F.log(share / base) + F.when(F.col("no") > 0, F.col("no") * F.log((1 - share) / (1 - base))).otherwise(0.0)
     best = found.filter("f is not null and yes >= 2").filter(share > base).select("f", evidence.alias("e")).filter(F.col("e") >= EVIDENCE)
-    return [r["f"] for r in best.orderBy(F.desc("e"), "f").limit(FEATURES).collect()]
+    return [r["f"] for r in best.orderBy(F.desc("e"), "f").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, grades: int = GRADES) -> Model:
-    """Fits the model. A document labelled more than once counts as toxic if any label says so."""
+    """Fits the model. A document labelled more than once counts as toxic if any label says so.
+
+    Of rows with the same labelled id the one whose text has the least hash counts.
+    """
     y = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     order = F.xxhash64(F.lit(SEED), F.col("id"))
     y = cut(y)
+    sizes = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = y.filter("y = 0").orderBy(order, "id").limit(sample).unionByName(y.filter("y = 1").orderBy(order, "id").limit(sample))
-    # at most 2 * sample ids
+    # at most 2 * sample ids, and after the partial minima as many texts a task
     texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    texts = cut(texts)
+    texts = cut(texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", F.col("t.text").alias("text")))
     numbers = {f: k for k, f in enumerate(select(docs, texts))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows = texts.select(F.col("id").cast("long").alias("id"), "y", "text").mapInArrow(run, "id long, y int, f array<int>, c array<int>").collect()
     values = [[1 + float(np.log(c)) for c in r["c"]] for r in rows]
     toxic = np.array([r["y"] for r in rows], np.int64)
-    if not numbers:  # nothing tells the classes apart: all documents get the base rate
-        p = (toxic.sum() + 0.5) / (len(toxic) + 1)
+    if not numbers:  # nothing tells the classes apart: all documents get the base rate, but none is called toxic for it
+        p = min((toxic.sum() + 0.5) / (len(toxic) + 1), 0.49)
         return Model({}, np.zeros(0), np.full(grades, np.log((1 - p) / p) if len(toxic) else 35.0))
     amount = np.array([sum(v) for v in values])
     edges = np.quantile(amount[toxic == 1], np.arange(1, grades) / grades)
     grade = np.where(toxic == 1, 1 + np.searchsorted(edges, amount, side="right"), 0)
-    weights, thresholds = fit([(r["f"], v) for r, v in zip(rows, values, strict=True)], grade, len(numbers), grades)
+    # each class counts by all its labels, however few of its documents were sampled
+    mass = np.where(toxic == 1, max(1.0, sizes.get(1, 0) / sample), max(1.0, sizes.get(0, 0) / sample))
+    weights, thresholds = fit([(r["f"], v) for r, v in zip(rows, values, strict=True)], grade, len(numbers), grades, weights=mass)
     return Model(numbers, weights, thresholds)
 
 
@@ -196,7 +206,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
     """
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), text_bytes(text_col).alias("text"))
     schema = rows.select("kept").withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "p_toxic": F.lit(0.0)}).schema
-    # the model has at most FEATURES weights
+    # a weight for each feature of the bounded sample that tells the classes apart
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
