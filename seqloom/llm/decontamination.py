@@ -10,16 +10,16 @@ Occurrences are located by walking back to the nearest sampled suffix position
 (each ``SAMPLE``-th word of a stretch and each stretch's first), and overlapping
 ones merge into removal spans.
 
-Nothing is shuffled. The phrases are sent to the tasks in blocks of at most
-``BLOCK_BYTES`` of benchmark text; a larger benchmark makes further passes.
+Documents are not shuffled. The phrases are sent to the tasks in blocks of about
+``BLOCK_WINDOWS``; a larger benchmark makes further passes. Long items are cut into pieces that
+overlap by a window less a word, so one item may be spread over several blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import cut, table, text_bytes
 
-WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 1_500_000, 8, 32 << 20
+WINDOW, SHARD_WORDS, SAMPLE = 10, 1_500_000, 8
+#: Windows that are sent to the tasks at once, and words in a piece of an item.
+BLOCK_WINDOWS, PIECE = 1_000_000, 8192
 #: Lower-cases A-Z, keeps digits, a-z and all of U+0080 and above; the rest separates words.
 WORD_BYTES = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD_RUN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -46,32 +49,40 @@ class Vocabulary(dict):
 
 @dataclass
 class Phrases:
-    """Test phrases as rows of symbols (from 2 up; 0 ends the text, 1 separates)."""
+    """Test phrases as rows of symbols (from 2 up; 0 ends the text, 1 separates).
+
+    ``owners[first[p] : first[p + 1]]`` are the numbers of the items that hold phrase p. But for the
+    vocabulary all is arrays: 4 * window bytes a phrase.
+    """
 
     items: list[str]
-    vocabulary: Vocabulary = field(default_factory=Vocabulary)
-    symbols: np.ndarray = None  # type: ignore[assignment]
-    lengths: np.ndarray = None  # type: ignore[assignment]
-    owners: list[list[int]] = field(default_factory=list)
+    vocabulary: Vocabulary
+    symbols: np.ndarray
+    lengths: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[str, bytes]], window: int = WINDOW) -> Phrases:
         items = sorted({i for i, _ in rows})
-        number = {x: k for k, x in enumerate(items)}
-        out, seen = cls(items), {}
+        number, vocabulary = {x: k for k, x in enumerate(items)}, Vocabulary()
+        parts, who = [], []
         for item, text in rows:
-            words = words_of(text)
-            for k in range(max(1, len(words) - window + 1) if words else 0):
-                seen.setdefault(tuple(words[k : k + window]), set()).add(number[item])
-        for phrase in seen:
-            for w in phrase:
-                out.vocabulary.setdefault(w, len(out.vocabulary) + 2)
-        out.symbols = np.zeros((len(seen), window), np.int64)
-        for k, phrase in enumerate(seen):
-            out.symbols[k, : len(phrase)] = [out.vocabulary[w] for w in phrase]
-        out.lengths = np.array([len(p) for p in seen], np.int64)
-        out.owners = [sorted(x) for x in seen.values()]
-        return out
+            # a word gets the next number when it is first seen
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 2) for w in words_of(text)], np.int32)
+            if len(ids):
+                short = np.zeros((1, window), np.int32)
+                short[0, : len(ids)] = ids[:window]
+                parts.append(np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else short)
+                who.append(np.full(len(parts[-1]), number[item], np.int32))
+        every = np.concatenate(parts) if parts else np.zeros((0, window), np.int32)
+        symbols, which = np.unique(every, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), np.concatenate([*who, np.zeros(0, np.int32)])]), axis=1).astype(np.int64)
+        first = np.append(0, np.cumsum(np.bincount(pairs[0], minlength=len(symbols))))
+        return cls(items, vocabulary, symbols, (symbols > 0).sum(1), first, pairs[1])
+
+    def holders(self, phrase: int) -> list[int]:
+        return self.owners[self.first[phrase] : self.first[phrase + 1]].tolist()
 
 
 def suffix_array(s: np.ndarray, most: int) -> np.ndarray:
@@ -216,7 +227,7 @@ def scan(texts: list[bytes], phrases: Phrases) -> tuple[list[int], np.ndarray, l
             np.add.at(hit, place + phrases.lengths[live[which]], -1)
             doc = np.searchsorted(ends, place, side="right")
             for d, p in np.unique(np.stack([doc, live[which]], 1), axis=0).tolist() if len(doc) else []:
-                items[d] += phrases.owners[p]
+                items[d] += phrases.holders(p)
     return counts, np.cumsum(hit)[:-1] > 0, [sorted(set(x)) for x in items]
 
 
@@ -239,21 +250,33 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, words: int) -> Iterator
                 size, start = 0, k + 1
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int, piece: int = PIECE) -> Iterator[list[tuple[str, bytes]]]:
+    """(item, words) of the pieces of each block, which has about ``most`` windows."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                starts = range(0, max(len(words) - window + 1, 1), piece) if words else ()
+                parts = [words[k : k + piece + window - 1] for k in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts), pa.string()), pa.array([b" ".join(p) for p in parts], pa.binary()), pa.array([max(len(p) - window + 1, 1) for p in parts], pa.int64())], names=["item", "words", "n"])
+
     rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), text_bytes(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    # repeated pieces, as of repeated rows, count once
+    pieces = cut(rows.mapInArrow(split, "item string, words binary, n long").dropDuplicates(["item", "words"]))
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-5 * total // (4 * most)) if total > most else 1
     for b in range(blocks):
-        yield [(r["item"], bytes(r["text"])) for r in (rows.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else rows).collect()]
+        yield [(r["item"], bytes(r["words"])) for r in pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b).select("item", "words").collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_windows: int = BLOCK_WINDOWS, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
     """Columns ``keep`` of each row of ``docs`` with its words, removal spans and items.
 
     Adds n_words, spans (array of struct first, end: merged runs of hit words,
     counted from 0, end exclusive) and items (item ids as strings, sorted).
     ``carry_text`` adds clean_text: the text without its spans, searched again
-    until no phrase is left; a span leaves its place empty, and what stands before
+    until no phrase of the block is left; a span leaves its place empty, and what stands before
     and after it stays. Null or empty text: no words, no spans. Null benchmark texts
     have no phrases; a null item id counts as the id ''. Repeated benchmark rows
     count once; repeated documents are rows of their own. With an empty benchmark
@@ -263,7 +286,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     out = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), text_bytes(text_col).alias("text"))
     out = out.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<first: long, end: long>>)"), "items": F.expr("cast(array() as array<string>)"), "clean": F.col("text") if carry_text else F.lit(None).cast("binary")})
     schema = out.schema
-    for rows in benchmark_blocks(benchmark, bench_id, bench_text, block_bytes):
+    for rows in benchmark_blocks(benchmark, bench_id, bench_text, window, block_windows):
         shared = spark.sparkContext.broadcast(Phrases.of(rows, window))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -317,6 +340,3 @@ def op6(spark, sf_dir: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
-
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
