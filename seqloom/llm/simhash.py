@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import accumulate, combinations
-from math import comb
+from math import comb, exp, lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -103,17 +103,43 @@ def group_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def allocate(n: int, match: np.ndarray, groups: list[list[int]], distance: int = DISTANCE) -> tuple[float, list[int]]:
+def differing(n: int, both: np.ndarray) -> np.ndarray:
+    """For each two bits the chance that two fingerprints differ in both, from how often both are set."""
+    p11 = both / max(n, 1)
+    p = np.diag(p11)
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    return 2 * (p11 * (1 - p10 - p01 - p11) + p10 * p01)
+
+
+def spread(group: list[int], differ: np.ndarray) -> np.ndarray:
+    """Chance of each number of differing bits in a group.
+
+    Bits of a group go together, so small and large numbers are likelier than if they were independent:
+    the law is beta-binomial, with the group's own mean and variance.
+    """
+    size, q = len(group), differ[group, group]
+    law = np.array([1.0])
+    for x in q:
+        law = np.convolve(law, [1 - x, x])
+    mean = q.sum() / size
+    plain = size * mean * (1 - mean)
+    if size < 2 or plain <= 0:
+        return law
+    tie = min(((differ[np.ix_(group, group)].sum() - q.sum() ** 2) / plain - 1) / (size - 1), 0.999)
+    if tie <= 1e-3:
+        return law
+    a, b, k = mean * (1 / tie - 1), (1 - mean) * (1 / tie - 1), range(size + 1)
+    return np.array([comb(size, i) * exp(lgamma(i + a) + lgamma(size - i + b) - lgamma(size + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b)) for i in k])
+
+
+def allocate(n: int, differ: np.ndarray, groups: list[list[int]], distance: int = DISTANCE) -> tuple[float, list[int]]:
     """Least cost and thresholds of the groups, summing to distance - m + 1, by dynamic programming.
 
-    ``match``: for each bit the share of pairs that agree in it.
+    ``differ``: as from ``differing``.
     """
     choice: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for g in groups:
-        within = np.array([1.0])
-        for b in g:
-            within = np.convolve(within, [match[b], 1 - match[b]])
-        pairs = n * n / 2 * np.cumsum(within)
+        pairs = n * n / 2 * np.cumsum(spread(g, differ))
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, picked) in choice.items():
             for t in range(-1, min(distance, len(g)) + 1):
@@ -126,9 +152,8 @@ def allocate(n: int, match: np.ndarray, groups: list[list[int]], distance: int =
 
 def probe_plan(n: int, both: np.ndarray, most: int = 6) -> list[tuple[list[int], int]]:
     """The probed partitions and their thresholds."""
-    p = np.diag(both) / max(n, 1)
-    match = p**2 + (1 - p) ** 2
-    plans = [(g, *allocate(n, match, g)) for g in (group_bits(n, both, m) for m in range(2, most + 1))]
+    differ = differing(n, both)
+    plans = [(g, *allocate(n, differ, g)) for g in (group_bits(n, both, m) for m in range(2, most + 1))]
     groups, _, thresholds = min(plans, key=lambda x: x[1])
     return [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
 
@@ -266,7 +291,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 def keep_least(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each root of ``labelled`` (doc_id, tkey, root, component_id).
 
-    A component of null ids keeps one of its rows; of repeated rows with the least id one stays.
+    A component of null ids keeps one of its rows; of rows that repeat the least id and its text the
+    one with the least hash of all columns stays, so reruns agree.
     """
     found = cut(labelled.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     one = found.groupBy("root").agg(F.min(F.struct("doc_id", "tkey")).alias("k"))
@@ -276,7 +302,7 @@ def keep_least(docs: DataFrame, labelled: DataFrame, *, id_col: str = "doc_id",
     n, rows = kept.count(), found.count()
     if rows > n:  # some ids or whole rows repeat
         names = docs.columns
-        picked = out.groupBy(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__key")).agg(F.first(F.struct(*names)).alias("__row"))
+        picked = out.groupBy(F.col(id_col).cast("long").alias("__id"), F.xxhash64(F.col(text_col)).alias("__key")).agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row"))
         out = picked.select(*[F.col("__row")[c].alias(c) for c in names])
     return out
 
