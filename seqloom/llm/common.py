@@ -38,6 +38,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Cuts frames and deletes their files as soon as a later cut holds all that is still needed."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        out = cut(df)
+        self.made.append(out)
+        return out
+
+    def drop(self, *but: DataFrame) -> None:
+        """Deletes what was cut so far, but for some frames."""
+        for df in self.made:
+            if not any(df is x for x in but):
+                file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+                if file.isDefined():
+                    delete(df.sparkSession, file.get())
+        self.made = list(but)
+
+
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text, null as empty: Python then needn't decode and encode."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("binary")

@@ -130,7 +130,9 @@ def drop_tokens(folder: str) -> None:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     folder, written = write_tokens(table(spark, sf_dir, "documents"))
-    files = written.filter("n < 0").select("file", F.col("doc_id").alias("tokens"))
-    counts = count_tokens(folder, files)  # has read the files when it returns
-    drop_tokens(folder)
+    try:
+        files = written.filter("n < 0").select("file", F.col("doc_id").alias("tokens"))
+        counts = count_tokens(folder, files)  # has read the files when it returns
+    finally:
+        drop_tokens(folder)
     return written.filter("n >= 0").join(counts, ["file", "n"]).select("doc_id", "n_tokens")
