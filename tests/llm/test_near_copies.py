@@ -48,10 +48,10 @@ def wanted(docs):
     return {k: int(r) for k, r in enumerate(roots_of(len(sets), *np.array(pairs).T))}
 
 
-@pytest.mark.parametrize("family", [1000, 4])
-def test_components_are_those_of_exact_similarity(spark, family):
+@pytest.mark.parametrize(("block", "most"), [(500, 1 << 25), (3, 1 << 25), (500, 4000)])
+def test_components_are_those_of_exact_similarity(spark, block, most):
     docs = corpus()
-    got = near_copies.near_copy_components(spark.createDataFrame(docs, DOCS).repartition(3), family=family, block=3).collect()
+    got = near_copies.near_copy_components(spark.createDataFrame(docs, DOCS).repartition(3), block=block, most_bytes=most).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == wanted(docs)
 
 
