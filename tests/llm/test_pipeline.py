@@ -1,11 +1,14 @@
 """The pipeline's stages on planted cases, and on tables with odd rows and columns."""
 
+import glob
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from seqloom.llm.common import shared_dir
 from seqloom.llm.simhash import fingerprint
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,3 +114,18 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_text_that_a_second_removal_empties_goes(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "A a b c b c.", "en", "s", 12), (2, "x a b c", "en", "s", 7), (3, "...", "en", "s", 3), (4, None, "en", "s", None)], DOCS)
+    kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.cut_benchmark(spark, docs, str(tmp_path)).collect()}
+    assert kept == {2: ("x ", 2), 3: ("...", 3), 4: (None, None)}
+
+
+def test_only_the_last_stage_read_is_left(world, spark):
+    made = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/pipeline-*"))
+    before = made()
+    corpus_pipeline.run(spark, world[0])
+    (folder,) = made() - before
+    assert os.listdir(folder) == ["3"]
