@@ -40,7 +40,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id", "h", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…:;»”\"')\]][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
+        F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…:;»”\"')\]][\x20\x09-\x0D]*\z"))).cast("long").alias("n_ended"),
         F.size(F.array_intersect("w", F.array(*[F.lit(x) for x in FUNCTION_WORDS]))).cast("long").alias("n_function"),
         F.length(F.regexp_replace("text", r"[^0-9@/\\_=]+", "")).cast("long").alias("n_odd"),
         (F.size("h") > F.size(F.array_distinct("h"))).alias("again"),

@@ -7,13 +7,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from seqloom.llm import chunk_dedup, components, decontamination, license_texts, licenses, mixing, quality, secrets, sharding, simhash, token_counts, toxicity
-from seqloom.llm.entries import QUERIES
+from seqloom.llm.entries import ORACLE_SQL, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -901,6 +902,25 @@ def test_queries_return_every_document(spark, name):
     assert len(rows) == n and len({r["doc_id"] for r in rows}) == n
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_queries_equal_their_twins(spark, tmp_path, name):
+    good = "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good += secrets.checksum(good[4:].encode()).decode()
+    rows = [*corpus(), (400, f"é {good} {good[:-1]}! token=abcdef API_KEY: '12345' {'0a' * 14}AKIA{'Q' * 16}", "en", "s", 1), (401, "a b c a b c a b.\nx!\n\nx!\n x\n \n|#|", "en", "s", 1)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    passage = " ".join(corpus()[4][1].split()[10:25])
+    spark.createDataFrame([(7, passage.upper()), (7, passage), (8, None), (9, "one TWO"), (None, passage), (10, "")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for folder in (SF, str(tmp_path)):
+        con = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{'' if folder == SF else '/*.parquet'}'")
+        found = con.execute(ORACLE_SQL[name])
+        names = [d[0] for d in found.description]
+        got = QUERIES[name](spark, folder)
+        assert sorted(got.columns) == sorted(names)
+        assert rows_of(got, *names) == sorted(found.fetchall(), key=repr)
+
+
 def test_secret_query_digest(spark):
     texts = dict(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     for r in QUERIES["op5_secret_scan"](spark, SF).collect():
