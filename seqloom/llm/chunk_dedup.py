@@ -4,7 +4,7 @@ A gear hash of 16 bits runs over the UTF-8 bytes: shift left, add the byte's tab
 value, so it knows the last 16 bytes. Where its top bits are zero, and no such place
 came within the ``LEAST`` bytes before, a chunk ends. That depends on nearby bytes
 alone: after an insertion, boundaries are the old ones again. Chunks meet by their
-128-bit digest. A run is a row of neighbouring chunks that occur elsewhere, each two
+digest, of which 96 bits are kept. A run is a row of neighbouring chunks that occur elsewhere, each two
 neighbours as neighbours, so they share a source; runs of ``RUN`` characters at least are
 shared, and of these all but the first occurrence may be removed.
 
@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_bytes
+from .common import Scratch, cut, table, text_bytes
 
-WINDOW, LEAST, MOST, CUT_BITS, RUN = 16, 16, 4096, 4, 80
+WINDOW, LEAST, MOST, CUT_BITS, RUN = 16, 12, 4096, 3, 80
 #: Repeated digests up to which the filter is used, its bits for each (at least), and its segments.
 FILTER_KEYS, FILTER_BITS, SEGMENTS = 1 << 23, 16, 1024
 #: A random number of 16 bits for each byte, from a hash of the byte.
@@ -79,18 +79,18 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document: row, doc_id, ends, a and b (halves of digests)."""
-    kinds = (pa.int32(), pa.int64(), pa.int64())
+    """A row for each document: row, doc_id, ends, a and b (64 and further 32 bits of digests)."""
+    kinds = (pa.int32(), pa.int64(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [chunks(t.as_py()) for t in batch.column(2)]
+            found = [(ends, a, b.astype(np.int32)) for ends, a, b in (chunks(t.as_py()) for t in batch.column(2))]
             offsets = pa.array(np.append(0, np.cumsum([len(f[0]) for f in found])).astype(np.int32))
             whole = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*(f[i] for f in found), np.zeros(0, np.int64)]).astype(np.int64)).cast(t)) for i, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *whole], names=["row", "doc_id", "ends", "a", "b"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, ends array<int>, a array<long>, b array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, ends array<int>, a array<long>, b array<int>")
 
 
 def filter_of(keys: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -139,7 +139,7 @@ def passes(key: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
 
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each chunk a hash of its digest and the next one's; the last chunk's is its own."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.view(np.uint64)
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.int64).view(np.uint64)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x[:-1] ^= (x[1:] << np.uint64(21)) | (x[1:] >> np.uint64(43))
@@ -150,7 +150,7 @@ def candidates(rows: DataFrame, again: DataFrame, most_keys: int) -> DataFrame:
     """row, doc_id, k, a, b, pair of the chunks whose half digest is in ``again``, and perhaps some more."""
     n = again.count()
     shared = rows.sparkSession.sparkContext.broadcast(filter_of(again, n) if n <= most_keys else None)
-    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "k": pa.int32(), "a": pa.int64(), "b": pa.int64(), "pair": pa.int64()}
+    kinds = {"row": pa.int64(), "doc_id": pa.int64(), "k": pa.int32(), "a": pa.int64(), "b": pa.int32(), "pair": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +163,10 @@ def candidates(rows: DataFrame, again: DataFrame, most_keys: int) -> DataFrame:
             pair[last] = a[last]
             picked = np.flatnonzero(passes(a, *shared.value)) if shared.value else np.arange(len(a))
             own = pa.array(which[picked])
-            columns = (batch.column("row").take(own), batch.column("doc_id").take(own), pa.array(k[picked], pa.int32()), *(pa.array(x[picked], pa.int64()) for x in (a, b, pair)))
+            columns = (batch.column("row").take(own), batch.column("doc_id").take(own), pa.array(k[picked], pa.int32()), *(pa.array(x[picked]) for x in (a, b, pair)))
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    found = rows.select("row", "doc_id", "a", "b").mapInArrow(run, "row long, doc_id long, k int, a long, b long, pair long")
+    found = rows.select("row", "doc_id", "a", "b").mapInArrow(run, "row long, doc_id long, k int, a long, b int, pair long")
     return found if n <= most_keys else found.join(again, "a", "left_semi")
 
 
@@ -208,16 +208,18 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     columns don't matter.
     """
     rows = cut(chunk_rows(docs, id_col, text_col))
-    again = cut(rows.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
+    scratch = Scratch()
+    again = scratch.cut(rows.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a"))
     met = cut(candidates(rows, again, filter_keys))
+    scratch.drop()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "k")
     # written, so that both sides of the join are shuffled for it alone and Spark can split a frequent chunk's rows
     first = met.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = cut(first.select("a", "b", F.col("first.row").alias("first_row"), F.col("first.k").alias("first_k"), F.col("first.doc_id").alias("first_doc")))
     later = (F.col("first_row") != F.col("row")) | (F.col("first_k") != F.col("k"))
-    met = cut(met.join(first, ["a", "b"]).select("row", "k", "pair", later.alias("later"), "first_doc"))
+    # a pair occurs again only if both its chunks do, so the filter's extra chunks don't matter here
     tied = cut(met.groupBy("pair").agg(F.count("*").alias("n")).filter("n > 1").select("pair", F.lit(True).alias("tied")))
-    met = met.join(tied, "pair", "left").select("row", F.struct("k", "later", F.coalesce("tied", F.lit(False)).alias("tied"), F.col("first_doc").alias("first")).alias("m"))
+    met = met.join(first, ["a", "b"]).select("row", "k", "pair", later.alias("later"), "first_doc").join(tied, "pair", "left").select("row", F.struct("k", "later", F.coalesce("tied", F.lit(False)).alias("tied"), F.col("first_doc").alias("first")).alias("m"))
     by_row = met.groupBy("row").agg(F.collect_list("m").alias("met"))
     joined = rows.select("row", "doc_id", "ends").join(by_row, "row", "left")
 
