@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -204,20 +205,21 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple[
     Null and empty texts have no features: the grade of an unremarkable text. Repeated rows stay;
     an empty table gives no rows; names of other columns don't matter.
     """
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), text_bytes(text_col).alias("text"))
-    schema = rows.select("kept").withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "p_toxic": F.lit(0.0)}).schema
     # a weight for each feature of the bounded sample that tells the classes apart
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("severity double, grade int, p_toxic double")
+    def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         known = Known(own.numbers)
-        for b in batches:
-            above = np.array([own.above(counts_of(words_of(t.as_py()), known)) for t in b.column(1)]).reshape(b.num_rows, len(own.thresholds))
+        for texts in batches:
+            above = np.array([own.above(counts_of(words_of(t), known)) for t in texts]).reshape(len(texts), len(own.thresholds))
             exact = -np.diff(np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(above.sum(1)), pa.array(exact.argmax(1).astype(np.int32)), pa.array(above[:, 0])], names=["kept", "severity", "grade", "p_toxic"])
+            yield pd.DataFrame({"severity": above.sum(1), "grade": exact.argmax(1).astype(np.int32), "p_toxic": above[:, 0]})
 
-    return rows.mapInArrow(run, schema).select(*[F.col("kept")[c].alias(c) for c in keep], "severity", "grade", "p_toxic")
+    # only texts go to Python; a plan that calls it non-deterministic is not made to run it twice
+    found = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), graded.asNondeterministic()(text_bytes(text_col)).alias("s"))
+    return found.select(*[F.col("kept")[c].alias(c) for c in keep], "s.severity", "s.grade", "s.p_toxic")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
