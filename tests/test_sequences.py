@@ -3,7 +3,11 @@
 import itertools
 import math
 import random
+import re
+import tracemalloc
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from seqloom.search import symbols
 from seqloom.search.approx import ApproximateQuery
 from seqloom.search.exact import ExactQuery
 from seqloom.search.pwm import PWM, query_of
-from seqloom.search.regex import BioRegex
+from seqloom.search.regex import BioRegex, way_lists
 
 C = F.col
 S, T = C("s"), C("t")
@@ -523,6 +527,31 @@ def test_every_way_equals_brute_force(spark, pattern):
     assert [[(w["start"] - 1, w["stop"]) for w in f] for f in found] == [every_way(pattern, r) for r in rows]
 
 
+@pytest.mark.parametrize("pattern", ["A{2,3}C", "A*?C{0}", "(A?|C)A{1,}?", "^A*C|(?:C|AC)+", "A{2}$"])
+def test_every_way_over_runs_and_first_symbols(spark, pattern):
+    rows = ["", "A", *randomly(random.Random(5), "AC", (1, 3, 7), 5)]
+    found = values(spark, BioRegex(pattern, "DNA2").each_way(S), rows)
+    whole = {r: [(i, j) for i in range(max(1, len(r))) for j in range(i, len(r) + 1) if re.compile(pattern).fullmatch(r[:j], i)] for r in rows}
+    assert [sorted({(w["start"] - 1, w["stop"]) for w in f}) for f in found] == [whole[r] if not pattern.endswith("$") else [x for x in whole[r] if x[1] == len(r)] for r in rows]
+
+
+def test_every_way_leaves_in_pieces(spark):
+    rx, texts = BioRegex("(A+)C?", "DNA2"), ["A" * 60 + "C", None, "", "ACA"] * 100
+    bits = dict(zip(rx.alphabet.symbols, rx.alphabet.bits, strict=True))
+    tracemalloc.start()
+    got = []
+    for a in way_lists(rx.tree, pa.array(texts), rx.groups, bits):
+        got += pc.list_value_length(a).to_pylist()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [60 * 61 // 2 + 60, None, 0, 3] * 100 and most < 30 << 20
+    assert values(spark, F.size(rx.each_way(S)), texts) == got
+    fits = len("AAA") + 2 * len("AA") + 3 * len("A")
+    assert len(list(way_lists(rx.tree, pa.array(["AAA"] * 9), rx.groups, bits, row=fits))) == 1
+    with pytest.raises(ValueError, match="have 10 characters"):
+        list(way_lists(rx.tree, pa.array(["A", "AAA"]), rx.groups, bits, row=fits - 1))
+
+
 # matrices and consensus
 
 def test_matrices(spark):
