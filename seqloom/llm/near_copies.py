@@ -1,10 +1,12 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-The stage of SimHash dedup would need fingerprints some 16 bits apart for this similarity, which
-no split of 64 bits searches in bounded work (README), so candidates meet by MinHash: 16 keys of 4
+Candidates come from SimHash first: fingerprints of the sets, and op10's generalised pigeonhole
+(partitions of correlated bits, thresholds by dynamic programming) for those at most ``DISTANCE`` bits
+apart. What these links connect is a family. Pairs of similarity 0.8 are 10 bits apart on average, farther than
+any split of 64 bits searches in bounded work (README), so sets also meet by MinHash: 16 keys of 4
 minima each, of which a pair of similarity 0.8 shares one with probability 0.9998, a closer one
-with more. Sets of equal key are a bucket; buckets with the same sets count once. Within a bucket
-each pair is decided by its exact similarity, so a shared key alone links nothing.
+with more. Families and sets of equal key are buckets; buckets with the same sets count once. Within a
+bucket each pair is decided by its exact similarity, so neither bits nor a shared key alone link anything.
 
 A bucket of more than ``BLOCK`` sets or ``BYTES`` is dealt into stripes, and each two stripes are a
 cell, so all pairs are compared, however large the bucket, and no task holds more than two
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, cut, text_bytes
 from .components import components
-from .simhash import SEED, keep_least
+from .simhash import SEED, bits_set, keep_least, links, majority
 
 SHINGLE, BANDS, ROWS, BLOCK, BYTES = 5, 16, 4, 200, 32 << 20
+#: Differing bits up to which fingerprints link.
+DISTANCE = 8
 #: Odd factors of the hash functions, and one that joins the minima of a key.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 JOIN = np.uint64(0x9E3779B97F4A7C15)
@@ -115,17 +119,18 @@ def cell_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tkey, node, size, keys): tkey is a hash of the text, node one of its set of shingles."""
+    """(doc_id, tkey, node, size, fp, keys): tkey is a hash of the text, node one of its set of shingles, fp the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py()) for t in b.column(2)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prints = np.array([majority(bits_set(s), len(s)) for s in sets], np.uint64).view(np.int64)
             found = pa.array([keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), found], names=["doc_id", "tkey", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), found], names=["doc_id", "tkey", "node", "size", "fp", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey"), text_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, tkey long, node long, size long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, tkey long, node long, size long, fp long, keys array<long>")
 
 
 def cells_of(met: DataFrame, block: int, most: int) -> DataFrame:
@@ -137,17 +142,27 @@ def cells_of(met: DataFrame, block: int, most: int) -> DataFrame:
     return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") < F.col("other")).alias("left"), "node")
 
 
-def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most_bytes: int = BYTES) -> DataFrame:
+def families(nodes: DataFrame, distance: int) -> DataFrame:
+    """(node, size, family) from (node, size, fp): a family is what fingerprints within ``distance`` connect."""
+    prints = cut(nodes.select("fp").distinct())
+    roots = components(links(prints, distance=distance)).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    return nodes.join(roots, "fp", "left").select("node", "size", F.coalesce("family", "fp").alias("family"))
+
+
+def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, most_bytes: int = BYTES, distance: int = DISTANCE, minhash: bool = True) -> DataFrame:
     """(doc_id, tkey, root, component_id) for each row of ``docs``.
 
     ``component_id`` is the least doc_id whose text is reachable over links, ``root`` names the
     component. Texts without a word, null or not, are copies of each other. Null ids
-    are never a component_id unless a component has no other.
+    are never a component_id unless a component has no other. Without ``minhash``, only
+    pairs of one family are decided.
     """
     scratch = Scratch()
     rows = cut(signatures(docs, id_col, text_col))
-    nodes = cut(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    bands = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
+    nodes = cut(rows.groupBy("node").agg(F.min("tkey").alias("tkey"), F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    bands = scratch.cut(families(nodes, distance)).select("node", "size", F.lit(-1).alias("band"), F.col("family").alias("key"))
+    if minhash:
+        bands = bands.unionByName(nodes.select("node", "size", F.posexplode("keys").alias("band", "key")))
     members = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")
     buckets = scratch.cut(bands.groupBy("band", "key").agg(F.count("*").alias("n"), (8 * F.sum("size")).alias("bytes"), members).filter("n > 1"))
     # most pairs meet under many keys: of buckets with the same sets one is enough
@@ -163,8 +178,8 @@ def near_copy_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("tkey"), text_bytes(text_col).alias("text")).join(wanted, "tkey").dropDuplicates(["node"])
     sets = scratch.cut(texts.select("node", "text").mapInArrow(run, "node long, set binary"))
     cells = scratch.cut(cells_of(met, block, most_bytes)).join(sets, "node")
-    links = cells.select("cell", "node", "left", "set").repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links, "u long, v long")
-    roots = components(links).withColumnRenamed("root", "top")
+    found = cells.select("cell", "node", "left", "set").repartition("cell").sortWithinPartitions("cell").mapInArrow(cell_links, "u long, v long")
+    roots = components(found).withColumnRenamed("root", "top")
     scratch.drop()
     rooted = cut(nodes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("top", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -19,7 +19,7 @@ that meet there. Copies share a fingerprint and take part once.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, partial
 from itertools import accumulate, combinations
 from math import comb, exp, lgamma
 
@@ -50,7 +50,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     counts, n = np.zeros(BITS, np.int64), len(words) - shingle + 1
     for k in range(0, n, 1 << 16):
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[k : min(n, k + (1 << 16))], ends[k + shingle - 1 :], strict=False)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += bits_set(hashes)
+    return majority(counts, n)
+
+
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits set in over half of ``n`` hashes."""
     return sum(1 << int(j) for j in np.flatnonzero(2 * counts > n))
 
 
@@ -150,10 +160,10 @@ def allocate(n: int, differ: np.ndarray, groups: list[list[int]], distance: int
     return choice.get(distance - len(groups) + 1, (float("inf"), []))
 
 
-def probe_plan(n: int, both: np.ndarray, most: int = 6) -> list[tuple[list[int], int]]:
+def probe_plan(n: int, both: np.ndarray, most: int = 6, distance: int = DISTANCE) -> list[tuple[list[int], int]]:
     """The probed partitions and their thresholds."""
     differ = differing(n, both)
-    plans = [(g, *allocate(n, differ, g)) for g in (group_bits(n, both, m) for m in range(2, most + 1))]
+    plans = [(g, *allocate(n, differ, g, distance)) for g in (group_bits(n, both, m) for m in range(2, most + 1))]
     groups, _, thresholds = min(plans, key=lambda x: x[1])
     return [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]
 
@@ -206,7 +216,7 @@ def forest(key: np.ndarray, prints: np.ndarray, home: np.ndarray, distance: int
     return nodes[root[linked]], nodes[linked]
 
 
-def bucket_links(batches: Iterable[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterable[pa.RecordBatch], rows: int = 200_000, distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """Spanning links of each bucket from rows (part, key, fp, home) sorted by part and key."""
     held: list[list[np.ndarray]] = []
 
@@ -215,7 +225,7 @@ def bucket_links(batches: Iterable[pa.RecordBatch], rows: int = 200_000) -> Iter
         bucket = np.cumsum(np.append(0, (np.diff(key) != 0) | (np.diff(part) != 0)))
         cutoff = len(key) if last else int(np.searchsorted(bucket, bucket[-1]))
         parts[:] = [] if last else [[x[cutoff:].copy() for x in (part, key, fp, home)]]
-        u, v = forest(bucket[:cutoff], fp[:cutoff], home[:cutoff])
+        u, v = forest(bucket[:cutoff], fp[:cutoff], home[:cutoff], distance)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -238,11 +248,14 @@ def hub_links(prints: DataFrame) -> DataFrame:
     return hubs.select("u", F.explode("all").alias("v")).filter("u <> v").distinct()
 
 
-def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (u, v) between distinct fingerprints (column fp) that connect what distance 3 connects."""
+def links(prints: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -> DataFrame:
+    """Links (u, v) between distinct fingerprints (column fp) that connect what ``distance`` connects.
+
+    Large buckets meet at points up to a distance of 3 only; beyond it they are compared whole.
+    """
     n, both = bit_counts(prints)
     probes = []
-    for i, (bits, most) in enumerate(probe_plan(n, both)):
+    for i, (bits, most) in enumerate(probe_plan(n, both, distance=distance)):
         mask = signed(sum(1 << b for b in bits))
         own = F.col("fp").bitwiseAND(F.lit(mask))
         if most:
@@ -254,6 +267,9 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = probes[0]
     for more in probes[1:]:
         rows = rows.unionByName(more)
+    if distance > DISTANCE:
+        within = partial(bucket_links, distance=distance)
+        return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(within, "u long, v long")
     hot = cut(rows.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket).select("part", "key"))
     found = None
     if not hot.isEmpty():

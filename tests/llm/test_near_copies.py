@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from seqloom.llm import near_copies
-from seqloom.llm.simhash import roots_of
+from seqloom.llm.simhash import links, roots_of
 
 DOCS = "doc_id long, text string"
 
@@ -59,3 +59,33 @@ def test_stage_keeps_one_of_each_component(spark):
     docs = corpus()
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, DOCS).repartition(3), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(wanted(docs).values()))
+
+
+def pigeons(docs):
+    """Sets, fingerprints by counting bits, and the pairs that differ in at most 8 of them."""
+    sets = [near_copies.shingles((t or "").encode()) for _, t in docs]
+    prints = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+    return sets, prints, [(i, j) for j in range(len(docs)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 8]
+
+
+def test_links_of_a_wide_distance(spark):
+    docs = corpus()
+    _, prints, near = pigeons(docs)
+    rows = sorted({p - (1 << 64) * (p >> 63) for p in prints})
+    found = links(spark.createDataFrame([(p,) for p in rows], "fp long"), distance=8).collect()
+    at = {p: k for k, p in enumerate(rows)}
+    got = roots_of(len(rows), *np.array([(at[r["u"]], at[r["v"]]) for r in found]).T)
+    own = [at[p - (1 << 64) * (p >> 63)] for p in prints]
+    assert list(got) == list(roots_of(len(rows), *np.array([(own[i], own[j]) for i, j in near]).T))
+
+
+def test_families_of_fingerprints_are_decided_by_exact_similarity(spark):
+    docs = corpus()
+    _, _, near = pigeons(docs)
+    family = roots_of(len(docs), *np.array(near).T)
+    exact = [shingle_set(t) for _, t in docs]
+    pairs = [(i, j) for j in range(len(docs)) for i in range(j) if family[i] == family[j] and alike(exact[i], exact[j])]
+    unlike = [(i, j) for i, j in near if not alike(exact[i], exact[j])]
+    assert len(pairs) > 500 and unlike
+    got = near_copies.near_copy_components(spark.createDataFrame(docs, DOCS).repartition(3), minhash=False).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: int(r) for k, r in enumerate(roots_of(len(docs), *np.array(pairs).T))}
