@@ -15,11 +15,12 @@ from seqloom.functions import alphabet as A
 from seqloom.functions import counting, display, edit, parse, transform, translation
 from seqloom.functions import random as rand
 from seqloom.operators import aggregates, hits
-from seqloom.search import symbols
+from seqloom.plans.queries import QUERIES
+from seqloom.search import regex, symbols
 from seqloom.search.approx import ApproximateQuery
 from seqloom.search.exact import ExactQuery
 from seqloom.search.pwm import PWM, query_of
-from seqloom.search.regex import BioRegex, way_lists
+from seqloom.search.regex import BioRegex, way_lists, way_ranges
 
 C = F.col
 S, T = C("s"), C("t")
@@ -552,6 +553,42 @@ def test_every_way_leaves_in_pieces(spark):
         list(way_lists(rx.tree, pa.array(["A", "AAA"]), rx.groups, bits, row=fits - 1))
 
 
+@pytest.mark.parametrize("pattern", ["A+C?", "(A|AC)*", "A*?C", "C$", "A{2,}", "[AC]+A?(?:C|CG)*?", "A+(AC?)+$", "[AC]{2,}^", "[^ACGT]+", "A+?C", "A*C", "A+", "A+(|C|G?)", "A{2,}(?:C?|$)"])
+def test_ranges_of_every_way(spark, pattern):
+    rx, rows = BioRegex(pattern, "DNA2"), [None, "", "A", "T", "AAC" * 9, *randomly(random.Random(7), "ACG", (2, 6, 12), 4)]
+    found = values(spark, F.struct(rx.each_way(S).alias("ways"), rx.each_way_range(S).alias("ranges")), rows)
+    assert [f["ways"] and [(w["start"], w["stop"]) for w in f["ways"]] for f in found] == [f["ranges"] and [tuple(w) for w in f["ranges"]] for f in found]
+    assert found[0]["ranges"] is None and all(f["ranges"] is not None for f in found[1:])
+    with pytest.raises(Exception, match="more than 5 ways"):
+        values(spark, BioRegex("A+", "DNA2").each_way_range(S, most=5), ["A", "AAA"])
+    assert values(spark, F.size(BioRegex("A+", "DNA2").each_way_range(S, most=6)), ["AAA", "AAA"]) == [6, 6]
+
+
+def test_what_follows_a_run_is_matched_where_it_may_begin(monkeypatch):
+    calls, on = [], regex.ways_on
+    monkeypatch.setattr(regex, "ways_on", lambda *a: calls.append(0) or on(*a))
+    rx = BioRegex("A+C?", "DNA2")
+    a = list(way_ranges(rx.tree, pa.array(["A" * 500 + "C"]), rx.groups, dict(zip(rx.alphabet.symbols, rx.alphabet.bits, strict=True))))
+    assert sum(len(x.values) for x in a) == 500 * 501 // 2 + 500 and len(calls) == 2
+
+
+def test_ranges_of_ways_whose_texts_fit_no_row(spark, tmp_path):
+    r = 2400
+    rx, total = BioRegex("A+C?", "DNA2"), r * (r + 1) * (r + 2) // 6 + r * (r + 3) // 2
+    ranges = rx.each_way_range(S)
+    chars = F.aggregate(ranges, F.lit(0).cast("long"), lambda n, w: n + w["stop"] - w["start"] + 1)
+    assert total > 2**31 and values(spark, F.struct(F.size(ranges).alias("n"), chars.alias("chars")), ["A" * r + "C", "AC"]) == [(r * (r + 1) // 2 + r, total), (2, 3)]
+    bits = dict(zip(rx.alphabet.symbols, rx.alphabet.bits, strict=True))
+    tracemalloc.start()
+    sizes = [len(a.values) for a in way_ranges(rx.tree, pa.array(["A" * 700] * 3), rx.groups, bits)]  # texts of 57 MB each
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [700 * 701 // 2] * 3 and most < 20 << 20
+    spark.createDataFrame([(1, "A" * r + "C", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    with pytest.raises(Exception, match=f"have {total} characters"):
+        QUERIES["regex_every_way"](spark, str(tmp_path)).collect()
+
+
 # matrices and consensus
 
 def test_matrices(spark):
